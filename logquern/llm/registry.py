@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .fingerprints import op7_syncmers
+from .language import op1_language
+from .packing import op6_packing
+from .pieces import op3_pieces
+from .quality import op4_quality
+from .topk import OP9_SQL, op9_topk
 from .toxicity import op10_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_syncmers, op10_toxicity)}
+    return {f.__name__: f for f in (op1_language, op3_pieces, op4_quality, op6_packing, op7_syncmers, op9_topk, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_topk": OP9_SQL}
