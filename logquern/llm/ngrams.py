@@ -5,8 +5,8 @@ share at least T = ceil(NUM * n / DEN) of either's n grams. Documents with equal
 
 1. Each class puts its grams in one order, rare ones first. If two classes link, the first l of what they share are among
    the first n - T + l grams of each. Inverted lists of these are met gram by gram. A short list (LIST classes at most)
-   gives its pairs, and a pair must be met min(l) times; the classes of a longer list become a group as they are. So no
-   list gives more rows than it has classes, but for short ones.
+   gives its pairs, and a pair must be met min(l) times; what such pairs connect is a group. The classes of a longer list become
+   a group as they are. So no list gives more rows than it has classes, but for short ones.
 2. In a group, whole sets are at hand. A class's partners are found by DivideSkip: its shorter inverted lists are merged,
    and only what occurs there often enough is looked up, by binary search, in the longest ones. Classes already connected
    are not compared again; a group of over GROUP classes is split into pairs of blocks, each class with every other.
@@ -32,6 +32,7 @@ from . import rarity
 SKETCH_BITS = 18
 LIST = 32
 GROUP = 1024
+PROBE = 256  # length of an inverted list from which candidates are looked up in it
 FLAGS = 1 << 24
 BUFFER = 48 << 20  # bytes of text whose postings a task holds before it sends them
 
@@ -203,9 +204,8 @@ def _candidates(rule: Rule):
             rows = np.concatenate(got)
             rows = _times(*(rows[k] for k in ("a", "b", "na", "nb", "times")))
             rows = rows[rows["times"] >= rule.meets(np.minimum(rows["na"], rows["nb"]))]
-            m = np.unique(np.stack([np.concatenate([rows["a"], rows["b"]]), np.concatenate([rows["a"], rows["a"]])]), axis=1)
-            for s in range(0, m.shape[1], 10_000):
-                yield pa.RecordBatch.from_pydict({"id": m[0, s : s + 10_000], "head": m[1, s : s + 10_000]})
+            for s in range(0, len(rows), 10_000):
+                yield pa.RecordBatch.from_pydict({"u": rows["a"][s : s + 10_000], "v": rows["b"][s : s + 10_000]})
 
     return each
 
@@ -230,7 +230,8 @@ class Index:
         lo, hi = self.edges[at], self.edges[at + 1]
         length = hi - lo
         t = self.rule.least(len(at))
-        long = min(t - 1, int(t / (0.01 * np.log2(self.longest + 1) + 1)))  # lists to look up, as DivideSkip sets it
+        # Lists to look up: as many as DivideSkip sets, of those where a look-up costs less than a merge.
+        long = min(t - 1, int(t / (0.01 * np.log2(self.longest + 1) + 1)), int((length > PROBE).sum()))
         order = np.argsort(-length, kind="stable")
         short, probe = order[long:], order[:long]
         merged = self.docs[c.ranges(lo[short], length[short])]
@@ -320,7 +321,8 @@ def join(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     met = c.stored(met)
     own = met.filter("n IS NOT NULL").select("doc_id", "n", "id")
     first = c.stored(own.filter("id IS NOT NULL AND doc_id IS NOT NULL").groupBy("id").agg(F.min("doc_id").alias("doc_id")))
-    pairs = c.exchange(met.filter("data IS NOT NULL").select("pid", "data"), n).mapInArrow(_candidates(rule), "id long, head long")
+    pairs = components(c.exchange(met.filter("data IS NOT NULL").select("pid", "data"), n).mapInArrow(_candidates(rule), "u long, v long"))
+    pairs = pairs.select(F.col("node").alias("id"), F.col("component").alias("head")).union(pairs.select(F.col("component"), F.col("component")).distinct())
     members = pairs.union(met.filter("head IS NOT NULL").select("id", "head")).distinct()
     members = c.stored(members.join(first, "id").select("doc_id", "head"))
     # Whole sets are made again, for the documents that are in a group; flags let a few others through.
