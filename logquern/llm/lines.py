@@ -32,8 +32,9 @@ from . import rarity
 from .ngrams import Index, Rule
 
 NUM, DEN = 4, 5
-SKETCH_BITS = 19
-SHORT = 48  # inverted lists up to this length are met pair by pair
+SKETCH_BITS = 21
+SHORT = 2048  # inverted lists up to this length are met pair by pair
+FEW = 16
 GROUP = 4096
 FLAGS = 1 << 24
 BUFFER = 24 << 20
@@ -196,26 +197,43 @@ def _members(n: int):
         sizes = np.diff(edges)
         label = np.arange(edges[-1])
 
+        def root(i: np.ndarray) -> np.ndarray:
+            while (label[i] != i).any():
+                i = label[i]
+            return i
+
+        def unite(i: np.ndarray, j: np.ndarray) -> None:
+            while len(i):
+                i, j = root(i), root(j)
+                apart = i != j
+                i, j = i[apart], j[apart]
+                np.minimum.at(label, np.maximum(i, j), np.minimum(i, j))
+
         def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return _near({k: r[k][i] for k in ("n", "place", "signature", "extra")}, {k: r[k][j] for k in ("n", "place", "signature", "extra")})
 
-        for size in np.unique(sizes[sizes <= SHORT]):
-            i, j = np.triu_indices(size, 1)
-            at = edges[:-1][sizes == size]
-            step = max(1, (1 << 19) // len(i))
-            for s in range(0, len(at), step):
-                a, b = (at[s : s + step, None] + i).ravel(), (at[s : s + step, None] + j).ravel()
-                passed = near(a, b)
-                a, b = a[passed], b[passed]
-                while len(a):  # the parts that passing pairs connect
-                    low = np.minimum(label[a], label[b])
-                    if (label[a] == low).all() and (label[b] == low).all():
-                        break
-                    np.minimum.at(label, a, low)
-                    np.minimum.at(label, b, low)
+        # In a list, a line is met with those after it in order of size, up to the largest size that can be similar.
+        small = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= SHORT), sizes))
+        by = small[np.lexsort((r["n"][small], r["word"][small]))]
+        n_, list_ = r["n"][by].astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)[by]
+        key = list_ << 32 | n_
+        ends = np.searchsorted(key, list_ << 32 | n_ * DEN // NUM, side="right")
+        partners = ends - np.arange(len(by)) - 1
+        signature, bound = r["signature"][by], n_ * (NUM + DEN) // NUM // (NUM + DEN)
+        total = np.concatenate([[0], np.cumsum(partners)])
+        start = 0
+        while start < len(by):
+            end = max(start + 1, int(np.searchsorted(total, total[start] + (1 << 18), side="right")) - 1)
+            i = np.repeat(np.arange(start, end), partners[start:end])
+            j = c.ranges(np.arange(start, end) + 1, partners[start:end])
+            some = np.bitwise_count(signature[i] ^ signature[j]) <= bound[i]
+            i, j = by[i[some]], by[j[some]]
+            passed = near(i, j)
+            unite(i[passed], j[passed])
+            start = end
         for k in np.flatnonzero(sizes > SHORT):
             at = np.arange(edges[k], edges[k + 1])
-            own, done = np.zeros(len(at), np.int64) + np.arange(len(at)), np.zeros(len(at), bool)
+            own, done = np.arange(len(at)), np.zeros(len(at), bool)
             while True:  # as in ngrams.connect: what is outside the largest part so far is compared with all
                 counts = np.bincount(own)
                 left = np.flatnonzero(~done & (own != counts.argmax()) if counts.max() > 1 else ~done)
@@ -228,6 +246,7 @@ def _members(n: int):
                 own[np.isin(own, own[found])] = own[q]
             _, first_of, part = np.unique(own, return_index=True, return_inverse=True)
             label[at] = at[first_of][part]
+        label = root(np.arange(len(label)))
         sized = np.bincount(label, minlength=len(label))[label] > 1
         head = label[sized]
         rows = np.empty(len(head), MEMBER)
@@ -285,9 +304,14 @@ def _arrays(flags):
 
 def removed(own: list[np.ndarray]) -> np.ndarray:
     """Which of the sets, in order, have an earlier one that is similar."""
-    rule = Rule(0, NUM, DEN)
-    index = Index(own, rule)
     out = np.zeros(len(own), bool)
+    if len(own) <= FEW:
+        sets = [frozenset(x.tolist()) for x in own]
+        for q in range(1, len(sets)):
+            a = len(sets[q])
+            out[q] = any(DEN * (both := len(sets[q] & x)) >= NUM * (a + len(x) - both) for x in sets[:q])
+        return out
+    index = Index(own, Rule(0, NUM, DEN))
     out[index.partners(0)] = True  # in a group of copies of its first line that is nearly all
     out[0] = False
     for q in np.flatnonzero(~out):
