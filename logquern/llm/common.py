@@ -34,11 +34,12 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet into the shared folder and read again: a lost executor costs no recomputation past it."""
+def stored(df: DataFrame, by: str | None = None) -> DataFrame:
+    """df written as Parquet into the shared folder and read again: a lost executor costs no recomputation past it. by: a
+    column of few values, each of which gets files of its own."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/logquern/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
