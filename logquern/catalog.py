@@ -25,7 +25,10 @@ ORACLES: dict[str, str] = {}
 WINDOW = Window(datetime(2024, 1, 16, tzinfo=UTC), datetime(2024, 1, 23, tzinfo=UTC))
 IN_WINDOW = "event_sec >= TIMESTAMP '2024-01-16' AND event_sec < TIMESTAMP '2024-01-23'"
 IN_BASELINE = "event_sec >= TIMESTAMP '2024-01-09' AND event_sec < TIMESTAMP '2024-01-16'"
-T = F.col("event_sec")
+
+
+def at() -> Column:
+    return F.col("event_sec")
 
 
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -112,7 +115,7 @@ def hour_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("window_second_range", f"SELECT event_id, strftime(event_sec, '{SHOWN}') AS event_sec FROM ev WHERE event_sec >= TIMESTAMP '2024-01-10 05:40:07' AND event_sec < TIMESTAMP '2024-01-12 08:10:03'")
 def window_second_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window(datetime(2024, 1, 10, 5, 40, 7, tzinfo=UTC), datetime(2024, 1, 12, 8, 10, 3, tzinfo=UTC))
-    return load_events(spark, sf_dir).filter(w.contains(T)).select("event_id", show(T).alias("event_sec"))
+    return load_events(spark, sf_dir).filter(w.contains(at())).select("event_id", show(at()).alias("event_sec"))
 
 
 @register("raw_scan_substring", "SELECT doc_id, n_chars FROM documents WHERE contains(text, 'the and')")
@@ -138,12 +141,12 @@ BUCKETS = ", ".join(f"count_if(event_sec >= TIMESTAMP '2024-01-16' + INTERVAL {i
 
 @register("trend_pivot", f"SELECT _source_type, {BUCKETS}, count(*) AS total FROM ev WHERE {IN_WINDOW} GROUP BY 1")
 def trend_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return a.trend(load_events(spark, sf_dir), "_source_type", T, WINDOW, DAY)
+    return a.trend(load_events(spark, sf_dir), "_source_type", at(), WINDOW, DAY)
 
 
 @register("minute_counts", f"SELECT strftime(date_trunc('minute', event_sec), '{SHOWN}') AS minute, count(*) AS count FROM ev WHERE {IN_WINDOW} GROUP BY 1")
 def minute_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load_events(spark, sf_dir).filter(WINDOW.contains(T)).groupBy(show(F.date_trunc("minute", T)).alias("minute")).agg(F.count(F.lit(1)).alias("count"))
+    return load_events(spark, sf_dir).filter(WINDOW.contains(at())).groupBy(show(F.date_trunc("minute", at())).alias("minute")).agg(F.count(F.lit(1)).alias("count"))
 
 
 @register(
@@ -152,7 +155,7 @@ def minute_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT CAST(i AS BIGINT) AS bucket, coalesce(n, 0) AS count FROM range(504) r(i) LEFT JOIN own ON bucket = i""",
 )
 def interval_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return a.series(digest.blocked(load_events(spark, sf_dir), WINDOW), T, WINDOW, timedelta(minutes=20))
+    return a.series(digest.blocked(load_events(spark, sf_dir), WINDOW), at(), WINDOW, timedelta(minutes=20))
 
 
 VOLUME = """, v AS (SELECT {key} AS key, count_if({w}) AS c, count_if({b}) AS b FROM ev WHERE ({w}) OR ({b}) GROUP BY 1), f AS (SELECT *, (c - b) / b * 100.0 AS pct FROM v WHERE key <> '')
@@ -162,7 +165,7 @@ SELECT key AS {key}, c AS count, b AS baseline, CASE WHEN b > 0 THEN round(pct,
 
 @register("volume_flags", VOLUME.format(key="src_ip", w=IN_WINDOW, b=IN_BASELINE, spike=20))
 def volume_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return a.volume(load_events(spark, sf_dir), "src_ip", T, WINDOW, spike=20.0)
+    return a.volume(load_events(spark, sf_dir), "src_ip", at(), WINDOW, spike=20.0)
 
 
 def keys_only(name: str, one: str, other: str, f: Query) -> None:
@@ -172,8 +175,8 @@ def keys_only(name: str, one: str, other: str, f: Query) -> None:
 NARROW = Window(datetime(2024, 1, 20, tzinfo=UTC), datetime(2024, 1, 20, 12, tzinfo=UTC))
 NARROW_SQL = "event_sec >= TIMESTAMP '2024-01-20' AND event_sec < TIMESTAMP '2024-01-20 12:00:00'"
 NARROW_BASE = "event_sec >= TIMESTAMP '2024-01-19 12:00:00' AND event_sec < TIMESTAMP '2024-01-20'"
-keys_only("gone_silent", NARROW_BASE, NARROW_SQL, lambda spark, sf_dir: a.only_in(load_events(spark, sf_dir), "username", T, NARROW.baseline(), NARROW))
-keys_only("new_sources", NARROW_SQL, NARROW_BASE, lambda spark, sf_dir: a.only_in(load_events(spark, sf_dir), "username", T, NARROW, NARROW.baseline()))
+keys_only("gone_silent", NARROW_BASE, NARROW_SQL, lambda spark, sf_dir: a.only_in(load_events(spark, sf_dir), "username", at(), NARROW.baseline(), NARROW))
+keys_only("new_sources", NARROW_SQL, NARROW_BASE, lambda spark, sf_dir: a.only_in(load_events(spark, sf_dir), "username", at(), NARROW, NARROW.baseline()))
 
 
 @register(
@@ -188,13 +191,13 @@ def new_destinations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("first_seen_last_seen", f"SELECT username, strftime(min(event_sec), '{SHOWN}') AS first_seen, strftime(max(event_sec), '{SHOWN}') AS last_seen, count(*) AS count FROM ev GROUP BY 1")
 def first_seen_last_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return a.seen(load_events(spark, sf_dir), "username", T).withColumns({"first_seen": show(F.col("first_seen")), "last_seen": show(F.col("last_seen"))})
+    return a.seen(load_events(spark, sf_dir), "username", at()).withColumns({"first_seen": show(F.col("first_seen")), "last_seen": show(F.col("last_seen"))})
 
 
 @register("first_time_rules", f"SELECT dst_port || '/' || user_id AS rule_id, count_if({IN_WINDOW}) AS count, min(event_sec) >= TIMESTAMP '2024-01-16' AS first_time FROM ev WHERE event_sec < TIMESTAMP '2024-01-23' GROUP BY 1 HAVING count_if({IN_WINDOW}) > 0")
 def first_time_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load_events(spark, sf_dir)
-    alerts = e.select(F.concat("dst_port", F.lit("/"), F.col("user_id").cast("string")).alias("rule_id"), F.lit("t").alias("rule_title"), F.lit("low").alias("level"), seconds(T).alias("timestamp"))
+    alerts = e.select(F.concat("dst_port", F.lit("/"), F.col("user_id").cast("string")).alias("rule_id"), F.lit("t").alias("rule_title"), F.lit("low").alias("level"), seconds(at()).alias("timestamp"))
     return digest.alert_summary(alerts, WINDOW).select("rule_id", "count", "first_time")
 
 
@@ -341,7 +344,7 @@ chain(
 
 @register("ack_filter", f", m AS (SELECT event_type, max(CAST(floor(epoch(ts)) AS BIGINT)) AS acked FROM ev WHERE event_id % 40 = 0 AND event_type <> 'view' AND {IN_BASELINE} GROUP BY 1) SELECT event_id FROM ev LEFT JOIN m USING (event_type) WHERE acked IS NULL OR CAST(floor(epoch(ts)) AS BIGINT) > acked")
 def ack_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    acks = load_events(spark, sf_dir).filter(WINDOW.baseline().contains(T) & (F.col("event_id") % 40 == 0) & (F.col("event_type") != "view")).select(F.col("event_type").alias("rule_id"), seconds(F.col("ts")).alias("timestamp"))
+    acks = load_events(spark, sf_dir).filter(WINDOW.baseline().contains(at()) & (F.col("event_id") % 40 == 0) & (F.col("event_type") != "view")).select(F.col("event_type").alias("rule_id"), seconds(F.col("ts")).alias("timestamp"))
     return al.open_alerts(typed_alerts(spark, sf_dir), acks).select(F.col("tie").alias("event_id"))
 
 
@@ -378,31 +381,34 @@ def cat(*parts: str | Column) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def parsed(name: str, make: Callable[[DataFrame], Column], pick: list[Column], sql: str) -> None:
+def parsed(name: str, make: Callable[[DataFrame], Column], pick: Callable[[], list[Column]], sql: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = parsers.parse(lines_of(make)(spark, sf_dir))
-        return df.select("event_id", *pick)
+        return df.select("event_id", *pick())
 
     register(name, sql)(run)
 
 
-P = F.col("parsed")
-def f_(name: str, alias: str | None = None) -> Column:  # noqa: E302
-    return F.get(F.array(P["fields"][name]), F.lit(0)).alias(alias or name)
+def part(name: str, alias: str | None = None) -> Column:
+    return F.col(f"parsed.{name}").alias(alias or name)
+
+
+def f_(name: str, alias: str | None = None) -> Column:
+    return F.get(F.array(F.col("parsed.fields")[name]), F.lit(0)).alias(alias or name)
 
 
-parsed("parse_json_flat", lambda e: cat('{"event":{"id":', s("event_id"), ',"kind":"', F.col("event_type"), '"},"props":', F.col("props"), ',"host":"h', (F.col("user_id") % 5).cast("string"), '","tags":[1,2]}'), [P["format"].alias("format"), P["hostname"].alias("hostname"), f_("event.id", "id"), f_("event.kind", "kind"), f_("props.k", "k"), f_("tags")], "SELECT event_id, 'json' AS format, 'h' || (user_id % 5) AS hostname, CAST(event_id AS VARCHAR) AS id, event_type AS kind, json_extract_string(props, '$.k') AS k, '[1,2]' AS tags FROM ev")
-parsed("parse_json_array", lambda e: cat('[{"id":', s("event_id"), '},"', F.col("event_type"), '"]'), [P["format"].alias("format"), P["message"].alias("message"), f_("0.id", "id"), f_("1", "second")], "SELECT event_id, 'json_array' AS format, '2 JSON array elements' AS message, CAST(event_id AS VARCHAR) AS id, event_type AS second FROM ev")
-parsed("parse_logfmt", lambda e: cat("level=warn user=", F.col("username"), ' msg="it is ', s("event_id"), '" ip=', F.col("src_ip"), " done"), [P["format"].alias("format"), P["severity"].alias("severity"), P["message"].alias("message"), f_("user"), f_("ip"), f_("done")], "SELECT event_id, 'logfmt' AS format, 'warning' AS severity, 'it is ' || event_id AS message, username AS \"user\", src_ip AS ip, 'true' AS done FROM ev")
-parsed("parse_cef_header", lambda e: cat("CEF:0|acme|fire\\|wall|1.0|", s("event_id"), "|", F.col("event_type"), "|", (F.col("event_id") % 11).cast("string"), "|src=", F.col("src_ip"), " dst=", F.col("dst_ip"), " msg=seen a\\=b twice"), [P["format"].alias("format"), P["severity"].alias("severity"), P["app_name"].alias("app_name"), P["msg_id"].alias("msg_id"), P["message"].alias("message"), f_("src"), f_("dst"), f_("cef.name", "name")], "SELECT event_id, 'cef' AS format, CASE WHEN event_id % 11 <= 3 THEN 'debug' WHEN event_id % 11 <= 6 THEN 'notice' WHEN event_id % 11 <= 8 THEN 'warning' ELSE 'error' END AS severity, 'fire|wall' AS app_name, CAST(event_id AS VARCHAR) AS msg_id, 'seen a=b twice' AS message, src_ip AS src, dst_ip AS dst, event_type AS name FROM ev")
-parsed("parse_leef", lambda e: cat("LEEF:2.0|acme|box|1|", F.col("event_type"), "|^|src=", F.col("src_ip"), "^sev=", (F.col("event_id") % 10).cast("string"), "^msg=two words"), [P["format"].alias("format"), P["severity"].alias("severity"), P["app_name"].alias("app_name"), P["message"].alias("message"), f_("src")], "SELECT event_id, 'leef' AS format, CASE WHEN event_id % 10 <= 2 THEN 'debug' WHEN event_id % 10 <= 5 THEN 'notice' WHEN event_id % 10 <= 8 THEN 'warning' ELSE 'error' END AS severity, 'box' AS app_name, 'two words' AS message, src_ip AS src FROM ev")
-parsed("parse_rfc5424", lambda e: cat("<", (F.col("event_id") % 192).cast("string"), '>1 2024-01-02T03:04:05Z host', (F.col("user_id") % 5).cast("string"), " app ", s("event_id"), ' - [x@1 ip="', F.col("src_ip"), '" q="a\\"b"] hello there'), [P["format"].alias("format"), P["severity"].alias("severity"), P["facility"].alias("facility"), P["hostname"].alias("hostname"), P["proc_id"].alias("proc_id"), P["msg_id"].alias("msg_id"), P["message"].alias("message"), f_("ip"), f_("q")], "SELECT event_id, 'rfc5424' AS format, (['emergency','alert','critical','error','warning','notice','informational','debug'])[event_id % 192 % 8 + 1] AS severity, coalesce((['kern','user','mail','daemon','auth','syslog','lpr','news','uucp','cron','authpriv','ftp','unknown','unknown','unknown','unknown','local0','local1','local2','local3','local4','local5','local6','local7'])[event_id % 192 // 8 + 1], 'unknown') AS facility, 'host' || (user_id % 5) AS hostname, CAST(event_id AS VARCHAR) AS proc_id, CAST(NULL AS VARCHAR) AS msg_id, 'hello there' AS message, src_ip AS ip, 'a\"b' AS q FROM ev")
-parsed("parse_rfc3164", lambda e: cat("<34>Jul  ", (F.col("event_id") % 9 + 1).cast("string"), " 03:04:05 gw sshd[", s("event_id"), "]: Failed password for ", F.col("src_ip")), [P["format"].alias("format"), P["timestamp"].alias("timestamp"), P["app_name"].alias("app_name"), P["proc_id"].alias("proc_id"), P["message"].alias("message"), F.date_format(parsers.event_time(P["timestamp"], F.lit("2024-02-01").cast("timestamp")), "yyyy-MM-dd HH:mm:ss").alias("at")], "SELECT event_id, 'rfc3164' AS format, 'Jul  ' || (event_id % 9 + 1) || ' 03:04:05' AS timestamp, 'sshd' AS app_name, CAST(event_id AS VARCHAR) AS proc_id, 'Failed password for ' || src_ip AS message, '2024-07-0' || (event_id % 9 + 1) || ' 03:04:05' AS at FROM ev")
-parsed("parse_second_pass", lambda e: cat("<13>Jul  1 03:04:05 gw box: CEF:0|v|p|1|", s("event_id"), "|n|5|src=", F.col("src_ip")), [P["format"].alias("format"), P["hostname"].alias("hostname"), P["msg_id"].alias("msg_id"), f_("_transport", "transport"), f_("src")], "SELECT event_id, 'cef' AS format, 'gw' AS hostname, CAST(event_id AS VARCHAR) AS msg_id, 'rfc3164' AS transport, src_ip AS src FROM ev")
-parsed("parse_csv", lambda e: cat(s("event_id"), ',"a, ""b""",', F.col("src_ip"), ",x"), [P["format"].alias("format"), f_("col_1"), f_("col_2")], "SELECT event_id, 'csv' AS format, 'a, \"b\"' AS col_1, src_ip AS col_2 FROM ev")
-parsed("parse_xml", lambda e: cat('<ev id="', s("event_id"), '"><src>', F.col("src_ip"), "</src><msg>hi</msg></ev>"), [P["format"].alias("format"), P["message"].alias("message"), f_("ev.@id", "id"), f_("ev.src", "src")], "SELECT event_id, 'xml' AS format, 'hi' AS message, CAST(event_id AS VARCHAR) AS id, src_ip AS src FROM ev")
-parsed("parse_yaml", lambda e: cat("host: h1\nuser: ", F.col("event_type"), "\n- one"), [P["format"].alias("format"), P["hostname"].alias("hostname"), f_("user"), f_("[0]", "item")], "SELECT event_id, 'yaml' AS format, 'h1' AS hostname, event_type AS \"user\", 'one' AS item FROM ev")
-parsed("parse_plain", lambda e: cat("  just words ", F.col("event_type"), " "), [P["format"].alias("format"), P["message"].alias("message")], "SELECT event_id, 'plain' AS format, 'just words ' || event_type AS message FROM ev")
+parsed("parse_json_flat", lambda e: cat('{"event":{"id":', s("event_id"), ',"kind":"', F.col("event_type"), '"},"props":', F.get_json_object("line", "$.props"), ',"host":"h', (F.col("user_id") % 5).cast("string"), '","tags":[1,2]}'), lambda: [part("format"), part("hostname"), f_("event.id", "id"), f_("event.kind", "kind"), f_("props.k", "k"), f_("tags")], "SELECT event_id, 'json' AS format, 'h' || (user_id % 5) AS hostname, CAST(event_id AS VARCHAR) AS id, event_type AS kind, json_extract_string(line, '$.props.k') AS k, '[1,2]' AS tags FROM ev")
+parsed("parse_json_array", lambda e: cat('[{"id":', s("event_id"), '},"', F.col("event_type"), '"]'), lambda: [part("format"), part("message"), f_("0.id", "id"), f_("1", "second")], "SELECT event_id, 'json_array' AS format, '2 JSON array elements' AS message, CAST(event_id AS VARCHAR) AS id, event_type AS second FROM ev")
+parsed("parse_logfmt", lambda e: cat("level=warn user=", F.col("username"), ' msg="it is ', s("event_id"), '" ip=', F.col("src_ip"), " done"), lambda: [part("format"), part("severity"), part("message"), f_("user"), f_("ip"), f_("done")], "SELECT event_id, 'logfmt' AS format, 'warning' AS severity, 'it is ' || event_id AS message, username AS \"user\", src_ip AS ip, 'true' AS done FROM ev")
+parsed("parse_cef_header", lambda e: cat("CEF:0|acme|fire\\|wall|1.0|", s("event_id"), "|", F.col("event_type"), "|", (F.col("event_id") % 11).cast("string"), "|src=", F.col("src_ip"), " dst=", F.col("dst_ip"), " msg=seen a\\=b twice"), lambda: [part("format"), part("severity"), part("app_name"), part("msg_id"), part("message"), f_("src"), f_("dst"), f_("cef.name", "name")], "SELECT event_id, 'cef' AS format, CASE WHEN event_id % 11 <= 3 THEN 'debug' WHEN event_id % 11 <= 6 THEN 'notice' WHEN event_id % 11 <= 8 THEN 'warning' ELSE 'error' END AS severity, 'fire|wall' AS app_name, CAST(event_id AS VARCHAR) AS msg_id, 'seen a=b twice' AS message, src_ip AS src, dst_ip AS dst, event_type AS name FROM ev")
+parsed("parse_leef", lambda e: cat("LEEF:2.0|acme|box|1|", F.col("event_type"), "|^|src=", F.col("src_ip"), "^sev=", (F.col("event_id") % 10).cast("string"), "^msg=two words"), lambda: [part("format"), part("severity"), part("app_name"), part("message"), f_("src")], "SELECT event_id, 'leef' AS format, CASE WHEN event_id % 10 <= 2 THEN 'debug' WHEN event_id % 10 <= 5 THEN 'notice' WHEN event_id % 10 <= 8 THEN 'warning' ELSE 'error' END AS severity, 'box' AS app_name, 'two words' AS message, src_ip AS src FROM ev")
+parsed("parse_rfc5424", lambda e: cat("<", (F.col("event_id") % 192).cast("string"), '>1 2024-01-02T03:04:05Z host', (F.col("user_id") % 5).cast("string"), " app ", s("event_id"), ' - [x@1 ip="', F.col("src_ip"), '" q="a\\"b"] hello there'), lambda: [part("format"), part("severity"), part("facility"), part("hostname"), part("proc_id"), part("msg_id"), part("message"), f_("ip"), f_("q")], "SELECT event_id, 'rfc5424' AS format, (['emergency','alert','critical','error','warning','notice','informational','debug'])[event_id % 192 % 8 + 1] AS severity, coalesce((['kern','user','mail','daemon','auth','syslog','lpr','news','uucp','cron','authpriv','ftp','unknown','unknown','unknown','unknown','local0','local1','local2','local3','local4','local5','local6','local7'])[event_id % 192 // 8 + 1], 'unknown') AS facility, 'host' || (user_id % 5) AS hostname, CAST(event_id AS VARCHAR) AS proc_id, CAST(NULL AS VARCHAR) AS msg_id, 'hello there' AS message, src_ip AS ip, 'a\"b' AS q FROM ev")
+parsed("parse_rfc3164", lambda e: cat("<34>Jul  ", (F.col("event_id") % 9 + 1).cast("string"), " 03:04:05 gw sshd[", s("event_id"), "]: Failed password for ", F.col("src_ip")), lambda: [part("format"), part("timestamp"), part("app_name"), part("proc_id"), part("message"), F.date_format(parsers.event_time(F.col("parsed.timestamp"), F.lit("2024-02-01").cast("timestamp")), "yyyy-MM-dd HH:mm:ss").alias("at")], "SELECT event_id, 'rfc3164' AS format, 'Jul  ' || (event_id % 9 + 1) || ' 03:04:05' AS timestamp, 'sshd' AS app_name, CAST(event_id AS VARCHAR) AS proc_id, 'Failed password for ' || src_ip AS message, '2024-07-0' || (event_id % 9 + 1) || ' 03:04:05' AS at FROM ev")
+parsed("parse_second_pass", lambda e: cat("<13>Jul  1 03:04:05 gw box: CEF:0|v|p|1|", s("event_id"), "|n|5|src=", F.col("src_ip")), lambda: [part("format"), part("hostname"), part("msg_id"), f_("_transport", "transport"), f_("src")], "SELECT event_id, 'cef' AS format, 'gw' AS hostname, CAST(event_id AS VARCHAR) AS msg_id, 'rfc3164' AS transport, src_ip AS src FROM ev")
+parsed("parse_csv", lambda e: cat(s("event_id"), ',"a, ""b""",', F.col("src_ip"), ",x"), lambda: [part("format"), f_("col_1"), f_("col_2")], "SELECT event_id, 'csv' AS format, 'a, \"b\"' AS col_1, src_ip AS col_2 FROM ev")
+parsed("parse_xml", lambda e: cat('<ev id="', s("event_id"), '"><src>', F.col("src_ip"), "</src><msg>hi</msg></ev>"), lambda: [part("format"), part("message"), f_("ev.@id", "id"), f_("ev.src", "src")], "SELECT event_id, 'xml' AS format, 'hi' AS message, CAST(event_id AS VARCHAR) AS id, src_ip AS src FROM ev")
+parsed("parse_yaml", lambda e: cat("host: h1\nuser: ", F.col("event_type"), "\n- one"), lambda: [part("format"), part("hostname"), f_("user"), f_("[0]", "item")], "SELECT event_id, 'yaml' AS format, 'h1' AS hostname, event_type AS \"user\", 'one' AS item FROM ev")
+parsed("parse_plain", lambda e: cat("  just words ", F.col("event_type"), " "), lambda: [part("format"), part("message")], "SELECT event_id, 'plain' AS format, 'just words ' || event_type AS message FROM ev")
 
 
 @register("parse_filterlog", "SELECT event_id, CASE WHEN event_type = 'purchase' THEN 'ALLOW' ELSE 'BLOCK' END AS action, src_ip, dst_ip, CASE event_id % 3 WHEN 0 THEN 'TCP' WHEN 1 THEN 'UDP' ELSE 'ICMP' END AS protocol, CASE WHEN event_id % 3 < 2 THEN dst_port END AS dst_port FROM ev")
@@ -479,7 +485,7 @@ def dedup_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("tsv_sidecar", f"SELECT strftime(event_sec, '{SHOWN}') || chr(9) || src_ip || chr(9) || dst_ip || chr(9) || event_type || chr(9) || severity || chr(9) || _source_type AS value FROM ev")
 def tsv_sidecar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.render(sinks.sidecar(load_events(spark, sf_dir).withColumn("timestamp", show(T))), "tsv")
+    return sinks.render(sinks.sidecar(load_events(spark, sf_dir).withColumn("timestamp", show(at()))), "tsv")
 
 
 @register("json_render", "SELECT '{\"event_id\":\"' || event_id || '\",\"username\":\"' || username || '\",\"nothing\":null}' AS value FROM ev WHERE severity = 'critical'")
@@ -489,7 +495,7 @@ def json_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("rec_ids", "SELECT event_id, sha256(_source_type || '|' || strftime(event_sec, '%Y-%m-%d %H:%M:%S') || '|' || line) AS rec_id FROM ev")
 def rec_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load_events(spark, sf_dir).select("event_id", F.sha2(F.concat_ws("|", "_source_type", show(T), "line"), 256).alias("rec_id"))
+    return load_events(spark, sf_dir).select("event_id", F.sha2(F.concat_ws("|", "_source_type", show(at()), "line"), 256).alias("rec_id"))
 
 
 @register("partition_range", "SELECT strftime(dt, '%Y-%m-%d') AS dt, hh, count(*) AS count FROM ev WHERE ts >= TIMESTAMP '2024-01-28 22:00:00' GROUP BY 1, 2")

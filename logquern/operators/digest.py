@@ -8,7 +8,7 @@ from dataclasses import dataclass, fields
 from datetime import timedelta
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import filled
@@ -37,26 +37,29 @@ class Config:
 
 
 AUTH_FAILURES = ("ssh_auth_failure", "ssh_invalid_user", "sudo_auth_failure", "local_auth_failure")
-T = F.col("event_sec")
+
+
+def at() -> Column:
+    return F.col("event_sec")
 
 
 def cold_start(events: DataFrame, window: Window) -> DataFrame:
     """earliest, and whether what is known of the baseline is less than half of it."""
     before = window.baseline()
     known = F.timestamp_diff("SECOND", F.greatest(F.col("earliest"), literal(before.start)), literal(before.end))
-    return events.agg(F.min(T).alias("earliest")).withColumn("cold", F.coalesce(known < before.length.total_seconds() / 2, F.lit(True)))
+    return events.agg(F.min(at()).alias("earliest")).withColumn("cold", F.coalesce(known < before.length.total_seconds() / 2, F.lit(True)))
 
 
 def gone_silent(events: DataFrame, window: Window) -> DataFrame:
-    return a.only_in(events, "_source_type", T, window.baseline(), window)
+    return a.only_in(events, "_source_type", at(), window.baseline(), window)
 
 
 def new_sources(events: DataFrame, window: Window) -> DataFrame:
-    return a.only_in(events, "_source_type", T, window, window.baseline())
+    return a.only_in(events, "_source_type", at(), window, window.baseline())
 
 
 def unparsed(events: DataFrame, window: Window, least: int = 50) -> DataFrame:
-    return a.group_count(events.filter(window.contains(T) & ~F.col("_normalized")), "app_name").filter(F.col("count") > least)
+    return a.group_count(events.filter(window.contains(at()) & ~F.col("_normalized")), "app_name").filter(F.col("count") > least)
 
 
 def completeness(raw: DataFrame, indexed: DataFrame) -> DataFrame:
@@ -67,16 +70,16 @@ def completeness(raw: DataFrame, indexed: DataFrame) -> DataFrame:
 
 def index_lag(raw: DataFrame, indexed: DataFrame) -> DataFrame:
     """Seconds from the newest indexed event to the newest raw one."""
-    newest = lambda df, name: df.agg(F.max(T).alias(name))
+    newest = lambda df, name: df.agg(F.max(at()).alias(name))
     return newest(raw, "raw").join(newest(indexed, "indexed"), F.lit(True)).select(F.timestamp_diff("SECOND", "indexed", "raw").alias("lag_s"))
 
 
 def blocked(events: DataFrame, window: Window) -> DataFrame:
-    return events.filter(window.contains(T) & (F.col("_source_type") == "filterlog") & (F.col("action") == "BLOCK"))
+    return events.filter(window.contains(at()) & (F.col("_source_type") == "filterlog") & (F.col("action") == "BLOCK"))
 
 
 def inbound(events: DataFrame, window: Window, interface: str | None = None) -> DataFrame:
-    own = events.filter(window.contains(T) & (F.col("_source_type") == "filterlog") & (F.col("action") == "ALLOW"))
+    own = events.filter(window.contains(at()) & (F.col("_source_type") == "filterlog") & (F.col("action") == "ALLOW"))
     if interface and "interface" in events.columns:
         own = own.filter((F.col("interface") == interface) & (F.col("direction") == "in"))
     return a.group_count(own, "src_ip", "dst_ip", "dst_port")
@@ -86,39 +89,39 @@ def new_destinations(events: DataFrame, window: Window) -> DataFrame:
     """dst_ip, dst_port, count and first_seen (of the address, whatever the port) of addresses that the baseline lacks."""
     before = window.baseline()
     allowed = events.filter((F.col("_source_type") == "filterlog") & (F.col("action") == "ALLOW") & filled(F.col("dst_ip")))
-    by_port = allowed.filter(window.contains(T) | before.contains(T)).groupBy("dst_ip", "dst_port").agg(F.count_if(window.contains(T)).alias("count"), F.count_if(before.contains(T)).alias("old"), F.min(F.when(window.contains(T), T)).alias("first"))
+    by_port = allowed.filter(window.contains(at()) | before.contains(at())).groupBy("dst_ip", "dst_port").agg(F.count_if(window.contains(at())).alias("count"), F.count_if(before.contains(at())).alias("old"), F.min(F.when(window.contains(at()), at())).alias("first"))
     by_ip = by_port.groupBy("dst_ip").agg(F.sum("old").alias("old"), F.min("first").alias("first_seen"), F.collect_list(F.struct("dst_port", "count")).alias("ports"))
     return by_ip.filter("old = 0").select("dst_ip", "first_seen", F.inline("ports")).filter("count > 0").select("dst_ip", "dst_port", "count", "first_seen")
 
 
 def auth_failures(events: DataFrame, window: Window, types: tuple[str, ...] = AUTH_FAILURES) -> DataFrame:
-    own = events.filter(window.contains(T) & F.col("event_type").isin(*types) & filled(F.col("src_ip")))
+    own = events.filter(window.contains(at()) & F.col("event_type").isin(*types) & filled(F.col("src_ip")))
     return a.breakdown(own, "src_ip", ["_source_type", "event_type"])
 
 
 def alert_summary(alerts: DataFrame, window: Window) -> DataFrame:
     """rule_id, count, title and level as first seen, and whether the rule is new in the window."""
-    at = F.timestamp_seconds("timestamp").cast("timestamp_ntz")
-    return alerts.filter(at < literal(window.end)).groupBy("rule_id").agg(F.count_if(window.contains(at)).alias("count"), F.min_by("rule_title", "timestamp").alias("rule_title"), F.min_by("level", "timestamp").alias("level"), (F.min(at) >= literal(window.start)).alias("first_time")).filter("count > 0")
+    time = F.timestamp_seconds("timestamp").cast("timestamp_ntz")
+    return alerts.filter(time < literal(window.end)).groupBy("rule_id").agg(F.count_if(window.contains(time)).alias("count"), F.min_by("rule_title", "timestamp").alias("rule_title"), F.min_by("level", "timestamp").alias("level"), (F.min(time) >= literal(window.start)).alias("first_time")).filter("count > 0")
 
 
 def report(events: DataFrame, window: Window, config: Config | None = None, alerts: DataFrame | None = None, interval: timedelta = timedelta(hours=1)) -> dict:
     """Every section, collected: each is bounded by the number of sources, rules, or a limit."""
     config = config or Config()
-    span = events.filter((T >= literal(min(window.baseline().start, window.lookback(timedelta(hours=2 * config.coverage_hours)).start))) & (T < literal(window.end))).cache()
+    span = events.filter((at() >= literal(min(window.baseline().start, window.lookback(timedelta(hours=2 * config.coverage_hours)).start))) & (at() < literal(window.end))).cache()
     rows = lambda df, *order: [r.asDict(True) for r in df.orderBy(*order).collect()]
     cold = bool(cold_start(events, window).first()["cold"])
     day = window.lookback(timedelta(hours=config.coverage_hours))
     out = {
         "window": {"start": window.start.isoformat(), "end": window.end.isoformat()},
-        "coverage": {"cold_start": cold, "sources": [r[0] for r in span.filter(window.contains(T)).select("_source_type").distinct().orderBy(F.col("_source_type")).collect()], "gone_silent": [r[0] for r in gone_silent(span, day).orderBy("_source_type").collect()], "new_sources": [] if cold else [r[0] for r in new_sources(span, day).orderBy("_source_type").collect()]},
-        "volume": rows(a.volume(span, "_source_type", T, window, config.spike_threshold_pct, config.volume_min_count, config.new_source_always_flag, cold), F.desc("count"), "_source_type"),
-        "network": {"blocked": [r["count"] for r in a.series(blocked(span, window), T, window, interval).orderBy("bucket").collect()], "top_blocked": rows(a.top(blocked(span, window), ["src_ip"], config.top_blocked), F.desc("count"), "src_ip"), "inbound": rows(inbound(span, window, config.wan_interface).limit(1000), F.desc("count"), "src_ip", "dst_ip", "dst_port"), "new_destinations": rows(new_destinations(span, window).limit(1000), F.desc("count"), "dst_ip", "dst_port")},
+        "coverage": {"cold_start": cold, "sources": [r[0] for r in span.filter(window.contains(at())).select("_source_type").distinct().orderBy(F.col("_source_type")).collect()], "gone_silent": [r[0] for r in gone_silent(span, day).orderBy("_source_type").collect()], "new_sources": [] if cold else [r[0] for r in new_sources(span, day).orderBy("_source_type").collect()]},
+        "volume": rows(a.volume(span, "_source_type", at(), window, config.spike_threshold_pct, config.volume_min_count, config.new_source_always_flag, cold), F.desc("count"), "_source_type"),
+        "network": {"blocked": [r["count"] for r in a.series(blocked(span, window), at(), window, interval).orderBy("bucket").collect()], "top_blocked": rows(a.top(blocked(span, window), ["src_ip"], config.top_blocked), F.desc("count"), "src_ip"), "inbound": rows(inbound(span, window, config.wan_interface).limit(1000), F.desc("count"), "src_ip", "dst_ip", "dst_port"), "new_destinations": rows(new_destinations(span, window).limit(1000), F.desc("count"), "dst_ip", "dst_port")},
         "auth": {"failures": rows(auth_failures(span, window).limit(1000), F.desc("total"), "src_ip")},
     }
     if alerts is not None:
-        at = F.timestamp_seconds("timestamp").cast("timestamp_ntz")
-        out["alerts"] = {"by_rule": rows(alert_summary(alerts, window), F.desc("count"), "rule_id"), "concentration": rows(a.concentration(alerts.filter(window.contains(at)), "rule_id", config.concentration_pct / 100), "rule_id")}
+        time = F.timestamp_seconds("timestamp").cast("timestamp_ntz")
+        out["alerts"] = {"by_rule": rows(alert_summary(alerts, window), F.desc("count"), "rule_id"), "concentration": rows(a.concentration(alerts.filter(window.contains(time)), "rule_id", config.concentration_pct / 100), "rule_id")}
     span.unpersist()
     return out
 

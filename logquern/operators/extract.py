@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import EngineError
+from .parsers import computed
 
 ENVELOPE = ("facility", "severity", "timestamp", "hostname", "app_name", "proc_id", "msg_id", "message")
 
@@ -56,13 +57,18 @@ def resolve(name: str) -> Column:
         return F.col("_source_type")
     if name in ("_raw", "_format"):
         return F.col(name)
-    return F.col(f"parsed.{name}") if name in ENVELOPE else F.get(F.array(F.col("_fields")[name]), F.lit(0))
+    return F.col(f"_head_{name}") if name in ENVELOPE else F.get(F.array(F.col("_fields")[name]), F.lit(0))
+
+
+def _without(fields: Column, names: list[str]) -> Column:
+    return F.map_filter(fields, lambda k, _: ~k.isin(*names))
 
 
 def apply(df: DataFrame, rules: list[ExtractRule]) -> DataFrame:
     """df (with parsed, _source_type) with what rules find put into parsed.fields, and the flag force_severity. Rules
     whose pattern can't be read are left out."""
-    df = df.withColumn("_fields", F.col("parsed.fields")).withColumn("force_severity", F.lit(False))
+    columns, heads = [n for n in df.columns if n != "parsed"], ("format", *ENVELOPE)
+    df = df.select(*columns, F.col("parsed.fields").alias("_fields"), *[F.col(f"parsed.{n}").alias(f"_head_{n}") for n in heads], F.lit(False).alias("force_severity"))
     for rule in rules:
         hit = F.lit(True)
         for name, value in rule.when.items():
@@ -81,12 +87,11 @@ def apply(df: DataFrame, rules: list[ExtractRule]) -> DataFrame:
         if not new:
             continue
         added = F.map_filter(F.create_map(*[x for n, v in new.items() for x in (F.lit(n), v)]), lambda _, v: v.isNotNull())
-        kept = F.map_filter(F.col("_fields"), lambda k, _, new=new: ~k.isin(*new))
-        changed = F.when(hit, F.map_concat(kept, added)).otherwise(F.col("_fields"))
-        df = df.withColumn("_fields", changed)
+        changed = F.when(hit, F.map_concat(_without(F.col("_fields"), list(new)), added)).otherwise(F.col("_fields"))
         if rule.force_severity:
-            df = df.withColumn("force_severity", F.col("force_severity") | hit)
-    return df.withColumn("parsed", F.col("parsed").withField("fields", F.col("_fields"))).drop("_fields")
+            df = computed(df, "force_severity", F.col("force_severity") | hit)
+        df = computed(df, "_fields", changed)
+    return df.select(*columns, "force_severity", F.struct(*[F.col(f"_head_{n}").alias(n) for n in heads], F.col("_fields").alias("fields")).alias("parsed"))
 
 
 def shipped() -> list[ExtractRule]:

@@ -15,10 +15,12 @@ ENVELOPE = "_raw string, _source string, _source_type string, _host string, _fac
 
 
 def unwrap(lines: DataFrame, raw: str = "value") -> DataFrame:
-    """value: the inner line of an envelope, else the line itself; env: what the envelope says, null without one."""
+    """value: the inner line of an envelope, else the line itself; _env_...: what the envelope says, null without one."""
     env = F.from_json(F.when(F.col(raw).startswith("{"), F.col(raw)), ENVELOPE, {"mode": "PERMISSIVE"})
-    lines = lines.withColumn("env", env).withColumn("env", F.when(F.col("env._raw").isNotNull(), F.col("env")))
-    return lines.withColumn(raw, F.coalesce(F.col("env._raw"), F.col(raw)))
+    names = lines.columns
+    lines = lines.withColumn("env", F.when(env["_raw"].isNotNull(), env))
+    of = {"timestamp": F.col("env._timestamp"), "host": F.col("env._host"), "severity": F.col("env._severity"), "source": F.coalesce("env._source_type", "env._source")}
+    return lines.select(*[F.coalesce("env._raw", raw).alias(raw) if n == raw else F.col(n) for n in names], *[v.alias(f"_env_{k}") for k, v in of.items()])
 
 
 def canonical_app(name: Column) -> Column:
@@ -26,15 +28,15 @@ def canonical_app(name: Column) -> Column:
 
 
 def fill_from_envelope(df: DataFrame) -> DataFrame:
-    p, e = F.col("parsed"), F.col("env")
-    return df.withColumn("parsed", p.withField("timestamp", F.coalesce(p["timestamp"], e["_timestamp"])).withField("hostname", F.coalesce(p["hostname"], e["_host"])).withField("severity", F.coalesce(p["severity"], severity_of_word(e["_severity"]))).withField("app_name", canonical_app(p["app_name"])))
+    p = F.col("parsed")
+    return df.withColumn("parsed", p.withField("timestamp", F.coalesce(p["timestamp"], "_env_timestamp")).withField("hostname", F.coalesce(p["hostname"], "_env_host")).withField("severity", F.coalesce(p["severity"], severity_of_word(F.col("_env_severity")))).withField("app_name", canonical_app(p["app_name"])))
 
 
 def source_type(named: str | None = None) -> Column:
     """The label of the source: as told, of an override, envelope, application, format, host, else unknown."""
-    p, e = F.col("parsed"), F.col("env")
+    p = F.col("parsed")
     own = F.when(p["format"].isin(*SELF_DESCRIBING), p["format"])
-    return sanitize(F.coalesce(F.lit(named), F.nullif(F.col("source_label"), F.lit("")), F.nullif(F.coalesce(e["_source_type"], e["_source"]), F.lit("")), F.nullif(p["app_name"], F.lit("")), own, F.nullif(p["hostname"], F.lit("")), F.lit("unknown")))
+    return sanitize(F.coalesce(F.lit(named), F.nullif(F.col("source_label"), F.lit("")), F.nullif(F.col("_env_source"), F.lit("")), F.nullif(p["app_name"], F.lit("")), own, F.nullif(p["hostname"], F.lit("")), F.lit("unknown")))
 
 
 def flatten(df: DataFrame, now: Column) -> DataFrame:

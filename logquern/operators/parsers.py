@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StringType
 
 from ..functions.codes import cef_severity, facility_of_priority, leef_severity, severity_of_priority, severity_of_word
 
@@ -23,6 +24,7 @@ ISO = r"\d{4}-\d\d-\d\dT[^ ]+"
 BSD = r"[A-Z][a-z]{2} [ \d]\d \d\d:\d\d:\d\d"
 
 Parser = tuple[Column, Column]
+TEXTS = MapType(StringType(), StringType())  # no DDL text: workers import this module without a session
 
 
 def no_fields() -> Column:
@@ -129,9 +131,9 @@ def _flat_yaml(text: str | None) -> dict | None:
     return out or None
 
 
-flat_json = F.udf(_flat_json, "map<string,string>", useArrow=True)
-flat_xml = F.udf(_flat_xml, "map<string,string>", useArrow=True)
-flat_yaml = F.udf(_flat_yaml, "map<string,string>", useArrow=True)
+flat_json = F.udf(_flat_json, TEXTS, useArrow=True)
+flat_xml = F.udf(_flat_xml, TEXTS, useArrow=True)
+flat_yaml = F.udf(_flat_yaml, TEXTS, useArrow=True)
 
 
 def _described(format: str, fields: Column, message: Column | None = None) -> Column:
@@ -261,6 +263,11 @@ class Override:
         return out
 
 
+def renamed(fields: Column, names: dict[str, str]) -> Column:
+    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return F.transform_keys(fields, lambda k, _: F.coalesce(F.get(F.array(table[k]), F.lit(0)), k))
+
+
 def detect(raw: Column) -> Column:
     """The record of the first parser that accepts a line."""
     chain = [rfc5424(raw), rfc3164(raw, True), json_object(raw), json_array(raw), cef(raw), leef(raw), rfc3164(raw, False), logfmt(raw), csv(raw), xml(raw), yaml(raw)]
@@ -288,11 +295,17 @@ def second_pass(raw: Column, found: Column) -> Column:
     return out.otherwise(found)
 
 
+def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once, however often what follows uses it: the optimizer writes a projected
+    expression into each of its uses, but not one that a generator makes."""
+    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
 def parse(lines: DataFrame, raw: str = "value", overrides: list[Override] = ()) -> DataFrame:
     """lines with columns of SCHEMA as `parsed`, and `source_label` where an override names one. Expects source_addr."""
     line, addr = F.col(raw), F.col("source_addr") if "source_addr" in lines.columns else F.lit("")
-    lines = lines.withColumn("parsed", detect(line))
-    lines = lines.withColumn("parsed", second_pass(line, F.col("parsed")))
+    lines = computed(lines, "parsed", detect(line))
+    lines = computed(lines, "parsed", second_pass(line, F.col("parsed")))
     forced, label = F.when(F.lit(False), F.col("parsed")), F.when(F.lit(False), "")
     for o in overrides:
         hit, found = o.when(line, addr), F.col("parsed")
@@ -303,11 +316,10 @@ def parse(lines: DataFrame, raw: str = "value", overrides: list[Override] = ())
             ok, inner = PARSERS[o.reparse_as](found["message"])
             found = F.when(F.coalesce(ok, F.lit(False)), merge(found, inner)).otherwise(found)
         if o.rename:
-            name = lambda k, o=o: F.coalesce(F.create_map(*[F.lit(x) for kv in o.rename.items() for x in kv])[k], k)
-            found = found.withField("fields", F.transform_keys(found["fields"], lambda k, _, name=name: name(k)))
+            found = found.withField("fields", renamed(found["fields"], o.rename))
         forced, label = forced.when(hit, found), label.when(hit, F.lit(o.source or None))
     if overrides:
-        lines = lines.withColumn("parsed", forced.otherwise(F.col("parsed"))).withColumn("source_label", label)
+        lines = computed(lines.withColumn("source_label", label), "parsed", forced.otherwise(F.col("parsed")))
     return lines
 
 
