@@ -102,6 +102,7 @@ def stream(text: Iterator[int] | bytes, v: Vocabulary) -> Iterator[int]:
     back: dict[int, tuple[int, int]] = {}  # boundary: (the one before, piece)
     recent = bytearray()
     done = at = 0
+    due = 1  # paths that have not met are followed again when they are twice as long
     for byte in text:
         recent.append(byte)
         at += 1
@@ -114,6 +115,8 @@ def stream(text: Iterator[int] | bytes, v: Vocabulary) -> Iterator[int]:
         best[at], back[at] = top, via
         for old in [b for b in best if b <= at - v.longest]:
             del best[old]
+        if at - done < due:
+            continue
         heads = set(best)
         while len(heads) > 1:  # follow the latest back until all meet
             latest = max(heads)
@@ -128,7 +131,9 @@ def stream(text: Iterator[int] | bytes, v: Vocabulary) -> Iterator[int]:
                 del back[b]
             base = best.get(meet, 0.0)
             best = {b: s - base for b, s in best.items() if b >= meet} if meet in best else best
-            done = meet
+            done, due = meet, 1
+        else:
+            due = 2 * (at - done)
     if at > done:
         yield from _path(back, done, at)
 
