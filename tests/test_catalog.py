@@ -1,4 +1,4 @@
-"""A part of the registered queries against DuckDB; the whole of them is `python bench.py --oracle`."""
+"""A part of the registered queries against DuckDB."""
 
 import math
 
