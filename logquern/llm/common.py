@@ -46,7 +46,8 @@ def stored(df: DataFrame, by: str | None = None) -> DataFrame:
 def partitions(df: DataFrame) -> int:
     """Partitions for an exchange of about the size of df: spark.sql.shuffle.partitions, or more for a large input."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // PARTITION_BYTES), 1 << 16))
+    known = size < 1 << 60  # rows that the driver made have no size
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // PARTITION_BYTES), 1 << 16) if known else 1)
 
 
 def exchange(df: DataFrame, n: int, pid: str = "pid") -> DataFrame:
