@@ -82,18 +82,19 @@ def fingerprints(starts: np.ndarray, places: np.ndarray, marks: np.ndarray) -> l
 def likeness(a: tuple, b: tuple) -> np.ndarray:
     """Of the i-th text of a to the i-th of b."""
 
-    def keys(x: tuple) -> tuple[np.ndarray, np.ndarray]:
+    def keys(x: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct (document, mark), offsets of the places of each, and the places."""
         starts, places, marks, _ = x
         key = np.repeat(np.arange(len(starts) - 1), np.diff(starts)) << 24 | marks
         order = np.argsort(key, kind="stable")
-        key = key[order]
-        rank = np.minimum(c.within(c.runs(key)), 65535)
-        return key << 16 | rank, places[order]
-
-    (ka, pa_), (kb, pb) = keys(a), keys(b)
-    _, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
-    doc = ka[ia] >> 40
-    near = np.abs(pa_[ia] - pb[ib]) <= np.maximum(64, SHIFT * np.maximum(a[3], b[3])[doc])
+        offsets = c.runs(key[order])
+        return key[order][offsets[:-1]], offsets, places[order]
+
+    (ka, oa, pa_), (kb, ob, pb) = keys(a), keys(b)
+    key, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
+    n = np.minimum(np.diff(oa)[ia], np.diff(ob)[ib])
+    doc = np.repeat(key >> 24, n)
+    near = np.abs(pa_[c.ranges(oa[ia], n)] - pb[c.ranges(ob[ib], n)]) <= np.maximum(64, SHIFT * np.maximum(a[3], b[3])[doc])
     both = np.bincount(doc[near], minlength=len(a[3]))
     total = np.diff(a[0]) + np.diff(b[0])
     return np.where(total == 0, 1.0, 2 * both / np.maximum(total, 1))
