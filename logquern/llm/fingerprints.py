@@ -2,8 +2,10 @@
 
 A k-mer of code points is an anchor if the least hash among its s-mers stands at its first or last place. Whether a
 k-mer is an anchor depends on the k-mer alone, so equal passages have equal anchors wherever they stand, and of any
-k - s + 1 successive k-mers at least one is an anchor. A fingerprint is base64 of (gap to the anchor before, 24 bits of
-the k-mer's hash) for each anchor in order; a text without one has a single anchor, the hash of the whole text.
+k - s + 1 successive k-mers at least one is an anchor. So that short texts have a likeness too, the first 1, 2, 4 and 8
+code points of every text and its last 4 and 8 (of a longer text) are anchors of their own, and so is the whole of a text
+in which no k-mer is one. A fingerprint is base64 of (gap to the anchor before, 24 bits of the hash) for each anchor in
+order of place.
 
 Likeness is the Dice share of anchors that match: same hash (the i-th of equal hashes with the i-th) at places that
 differ by at most SHIFT of the longer text (64 at least). Null texts are empty; an empty text has an empty fingerprint,
@@ -23,7 +25,8 @@ from pyspark.sql import functions as F
 
 from . import common as c
 
-K, S = 48, 16
+K, S = 16, 4  # powers of 2
+HEADS, TAILS = (1, 2, 4, 8), (4, 8)
 SHIFT = 0.25
 W = K - S + 1
 
@@ -36,35 +39,40 @@ def anchors(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     n = len(codes)
     doc = np.repeat(np.arange(len(texts)), sizes)
+    with np.errstate(over="ignore"):
+        base = c.powers(64)
+        rolled, width = {1: codes + np.uint64(1)}, 1
+        while width < K:
+            h = rolled[width]
+            rolled[2 * width] = h[:-width] * base[width] + h[width:]
+            width *= 2
     found = np.zeros(0, np.int64)
-    whole = np.zeros(0, np.uint64)
     if n >= K:
-        with np.errstate(over="ignore"):
-            base = c.powers(64)
-            rolled, width = {1: codes + np.uint64(1)}, 1
-            while width < 32:
-                h = rolled[width]
-                rolled[2 * width] = h[:-width] * base[width] + h[width:]
-                width *= 2
-            low = c.mix(rolled[16])
-            reach, step = low, 1
-            while 2 * step <= W:
-                reach = np.minimum(reach[:-step], reach[step:])
-                step *= 2
-            if step < W:
-                reach = np.minimum(reach[: n - K + 1], reach[W - step : W - step + n - K + 1])
-            first, last = low[: n - K + 1], low[W - 1 : W - 1 + n - K + 1]
-            edge = (first == reach[: n - K + 1]) | (last == reach[: n - K + 1])
-            found = np.flatnonzero(edge)
-            found = found[found + K <= ends[doc[found]]]
-            whole = c.mix(rolled[32][found] * base[16] + rolled[16][found + 32])
-    counts = np.bincount(doc[found], minlength=len(texts)) if len(found) else np.zeros(len(texts), np.int64)
-    alone = np.flatnonzero((counts == 0) & (sizes > 0))
-    if len(alone):
-        h = [int.from_bytes(hashlib.blake2b(texts[i].encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for i in alone]
-        at = np.searchsorted(found, offsets[alone])
-        found, whole = np.insert(found, at, offsets[alone]), np.insert(whole, at, np.array(h, np.uint64))
-        counts[alone] = 1
+        low = c.mix(rolled[S])
+        reach, step = low, 1
+        while 2 * step <= W:
+            reach = np.minimum(reach[:-step], reach[step:])
+            step *= 2
+        if step < W:
+            reach = np.minimum(reach[: n - K + 1], reach[W - step : W - step + n - K + 1])
+        first, last = low[: n - K + 1], low[W - 1 : W - 1 + n - K + 1]
+        found = np.flatnonzero((first == reach[: n - K + 1]) | (last == reach[: n - K + 1]))
+        found = found[found + K <= ends[doc[found]]]
+    held = np.bincount(doc[found], minlength=len(texts))
+    at, whole = [found], [c.mix(rolled[K][found])]
+    for kind, widths in enumerate((HEADS, TAILS)):
+        for width in widths:
+            some = np.flatnonzero(sizes >= width + kind)
+            at.append(ends[some] - width if kind else offsets[some])
+            with np.errstate(over="ignore"):
+                whole.append(c.mix(rolled[width][at[-1]] + c.mix(np.array([width << 1 | kind], np.uint64))))
+    alone = np.flatnonzero((held == 0) & (sizes > 0))
+    at.append(offsets[alone])
+    whole.append(np.array([int.from_bytes(hashlib.blake2b(texts[i].encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for i in alone], np.uint64))
+    found, whole = np.concatenate(at), np.concatenate(whole)
+    order = np.argsort(found, kind="stable")
+    found, whole = found[order], whole[order]
+    counts = np.bincount(doc[found], minlength=len(texts))
     starts = np.concatenate([[0], np.cumsum(counts)])
     return starts, found - np.repeat(offsets[:-1], counts), (whole >> np.uint64(40)).astype(np.int64), sizes
 
