@@ -1,0 +1,24 @@
+"""Kinds of text are learned from all training texts."""
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from logquern.llm import common as c
+from logquern.llm import lm
+
+
+def test_kind_outside_the_starters(spark):
+    """A kind of text that only documents beyond the 3,000 with the least hash have."""
+    rng = np.random.default_rng(0)
+    ids = [r[0] for r in spark.range(4_000).orderBy(F.xxhash64("id")).collect()]
+    rows = [(i, " ".join(f"{'abcdrare'[place % 4] if place < 3_000 else 'rare'}{k}" for k in rng.integers(0, 40, 20))) for place, i in enumerate(ids)]
+    kinds = lm.find_kinds(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {"rare0", "rare39", "a0", "d39"} <= set(kinds.index.to_pylist())
+    found = kinds.of(*c.words(pa.array([text for _, text in rows])))
+    rare = np.bincount(found[3_000:], minlength=lm.CLASSES)
+    common = np.bincount(found[:3_000], minlength=lm.CLASSES)
+    own = rare.argmax()
+    assert rare[own] == 1_000 and common[own] == 0
+    again = lm.find_kinds(spark.createDataFrame(rows[::-1], "doc_id long, text string"))
+    assert again.index == kinds.index and np.allclose(again.log, kinds.log)
