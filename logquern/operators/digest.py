@@ -106,7 +106,9 @@ def alert_summary(alerts: DataFrame, window: Window) -> DataFrame:
 
 
 def report(events: DataFrame, window: Window, config: Config | None = None, alerts: DataFrame | None = None, interval: timedelta = timedelta(hours=1)) -> dict:
-    """Every section, collected: each is bounded by the number of sources, rules, or a limit."""
+    """Every section, collected whole: only top_blocked is cut, after its order. Inbound groups, new destinations and sources
+    of failures are as many as the window has, so a large window needs a driver that holds them; take the sections' own
+    functions to write them instead."""
     config = config or Config()
     span = events.filter((at() >= literal(min(window.baseline().start, window.lookback(timedelta(hours=2 * config.coverage_hours)).start))) & (at() < literal(window.end))).cache()
     rows = lambda df, *order: [r.asDict(True) for r in df.orderBy(*order).collect()]
@@ -116,8 +118,8 @@ def report(events: DataFrame, window: Window, config: Config | None = None, aler
         "window": {"start": window.start.isoformat(), "end": window.end.isoformat()},
         "coverage": {"cold_start": cold, "sources": [r[0] for r in span.filter(window.contains(at())).select("_source_type").distinct().orderBy(F.col("_source_type")).collect()], "gone_silent": [r[0] for r in gone_silent(span, day).orderBy("_source_type").collect()], "new_sources": [] if cold else [r[0] for r in new_sources(span, day).orderBy("_source_type").collect()]},
         "volume": rows(a.volume(span, "_source_type", at(), window, config.spike_threshold_pct, config.volume_min_count, config.new_source_always_flag, cold), F.desc("count"), "_source_type"),
-        "network": {"blocked": [r["count"] for r in a.series(blocked(span, window), at(), window, interval).orderBy("bucket").collect()], "top_blocked": rows(a.top(blocked(span, window), ["src_ip"], config.top_blocked), F.desc("count"), "src_ip"), "inbound": rows(inbound(span, window, config.wan_interface).limit(1000), F.desc("count"), "src_ip", "dst_ip", "dst_port"), "new_destinations": rows(new_destinations(span, window).limit(1000), F.desc("count"), "dst_ip", "dst_port")},
-        "auth": {"failures": rows(auth_failures(span, window).limit(1000), F.desc("total"), "src_ip")},
+        "network": {"blocked": [r["count"] for r in a.series(blocked(span, window), at(), window, interval).orderBy("bucket").collect()], "top_blocked": rows(a.top(blocked(span, window), ["src_ip"], config.top_blocked), F.desc("count"), "src_ip"), "inbound": rows(inbound(span, window, config.wan_interface), F.desc("count"), "src_ip", "dst_ip", "dst_port"), "new_destinations": rows(new_destinations(span, window), F.desc("count"), "dst_ip", "dst_port")},
+        "auth": {"failures": rows(auth_failures(span, window), F.desc("total"), "src_ip")},
     }
     if alerts is not None:
         time = F.timestamp_seconds("timestamp").cast("timestamp_ntz")

@@ -24,3 +24,18 @@ def test_sparkline():
 def test_windows():
     w = parse_window("24h", datetime(2024, 1, 2, tzinfo=UTC))
     assert (w.start, w.baseline().start) == (datetime(2024, 1, 1, tzinfo=UTC), datetime(2023, 12, 31, tzinfo=UTC))
+
+
+def test_report_is_whole(spark):
+    """More than 1,000 groups in each section: all of them, the largest first."""
+    events = spark.sql(
+        """
+        SELECT TIMESTAMP_NTZ'2024-01-16 01:00:00' AS event_sec, source AS _source_type, 'ALLOW' AS action, type AS event_type, true AS _normalized,
+          concat('10.0.', id div 250, '.', id % 250) AS src_ip, concat('10.1.', id div 250, '.', id % 250) AS dst_ip, '443' AS dst_port, 'wan' AS interface, 'in' AS direction
+        FROM (SELECT id, explode(sequence(1, if(id = 1200, 3, 1))) FROM range(1500)), VALUES ('filterlog', 'allow'), ('sshd', 'ssh_auth_failure') AS t(source, type)
+        """
+    )
+    found = digest.report(events, Window(datetime(2024, 1, 16, tzinfo=UTC), datetime(2024, 1, 17, tzinfo=UTC)))
+    for rows, n in ((found["network"]["inbound"], "count"), (found["network"]["new_destinations"], "count"), (found["auth"]["failures"], "total")):
+        assert len(rows) == 1500 and rows[0][n] == 3 and rows[1][n] == 1
+    assert found["network"]["inbound"][0]["src_ip"] == found["auth"]["failures"][0]["src_ip"] == "10.0.4.200"
