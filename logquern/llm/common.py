@@ -6,6 +6,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,10 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker holds as numpy arrays at a time (one longer document is held alone).
 SLICE_BYTES = 4 << 20
-#: Bytes of input for each partition of an exchange.
+#: Bytes of input for each partition of an exchange; the setting spark.logquern.partitionBytes takes its place.
 PARTITION_BYTES = 16 << 20
+#: Keys of which a join broadcasts the few that hold more than this part of all rows: there are fewer of them than this.
+HOT = 1024
 U64 = np.uint64
 
 
@@ -25,29 +28,78 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (local tests), one of the driver's own."""
+    """The folder named in spark.checkpoint.dir. Where that is unset, local mode takes one of the driver's own; on a cluster
+    executors could not share it, so that is an error."""
     jsc = spark.sparkContext._jsc.sc()
     named = spark.conf.get("spark.checkpoint.dir", None) or (jsc.getCheckpointDir().get() if jsc.getCheckpointDir().isDefined() else None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="logquern-")
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def stored(df: DataFrame, by: str | None = None) -> DataFrame:
     """df written as Parquet into the shared folder and read again: a lost executor costs no recomputation past it. by: a
-    column of few values, each of which gets files of its own."""
+    column of few values, each of which gets files of its own. The table goes when the driver ends, or by forget()."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/logquern/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/logquern/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     (df.write.partitionBy(by) if by else df.write).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, at = _file_system(spark, path)
+    fs.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a stored table that nothing reads any more."""
+    fs, at = _file_system(df.sparkSession, df._stored_at)
+    fs.delete(at, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """A name like each of names that no column of df has."""
+    taken = {n.lower() for n in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def partitions(df: DataFrame) -> int:
     """Partitions for an exchange of about the size of df: spark.sql.shuffle.partitions, or more for a large input."""
+    spark = df.sparkSession
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     known = size < 1 << 60  # rows that the driver made have no size
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // PARTITION_BYTES), 1 << 16) if known else 1)
+    each = int(spark.conf.get("spark.logquern.partitionBytes", str(PARTITION_BYTES)))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each) if known else 1)
+
+
+def looked_up(left: DataFrame, right: DataFrame, keys: list[str], many: str, total: int | None = None) -> DataFrame:
+    """left with the columns of right, whose keys are unique; right's column many tells how many rows of left a key has.
+    Keys with more than a HOT-th of all those rows (total, if known), fewer than HOT in number, are broadcast; the others
+    are joined by exchange, so no task gets much more than a HOT-th of left. Rows without a partner, or with a null key, get
+    nulls and meet nobody."""
+    names = [c for c in right.columns if c not in keys and c != many]
+    total = (right.agg(F.sum(many)).first()[0] or 0) if total is None else total
+    hot = F.col(many) > F.lit(total / HOT)
+    value = F.struct(*names).alias("_value")
+    known = left.join(F.broadcast(right.filter(hot).select(*keys, value)), keys, "left")
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    done = known.filter(F.col("_value").isNotNull() | ~whole)
+    rest = known.filter(F.col("_value").isNull() & whole).drop("_value").join(right.filter(~hot).select(*keys, value), keys, "left")
+    return done.unionByName(rest).select(*left.columns, "_value.*")
 
 
 def exchange(df: DataFrame, n: int, pid: str = "pid") -> DataFrame:
@@ -138,12 +190,18 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def hashes(values: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each string."""
+    """A 64-bit hash of each string: each block of 8 bytes is spread together with its place, so no sum of terms that is
+    linear in the bytes can cancel; strings of at most 8 bytes and one size never share a hash."""
     offsets, data = raw(values)
     sizes = np.diff(offsets)
+    blocks = np.maximum((sizes + 7) >> 3, 1)
+    starts = np.concatenate([[0], np.cumsum(blocks)])
+    flat_ = np.zeros(8 * starts[-1], np.uint8)
+    flat_[np.repeat(8 * starts[:-1] - offsets[:-1], sizes) + np.arange(len(data))] = data
     with np.errstate(over="ignore"):
-        terms = (data.astype(U64) + U64(1)) * powers(int(sizes.max(initial=0)) + 1)[within(offsets)]
-        return mix(sums(terms, offsets) + sizes.astype(U64))
+        place = within(starts).astype(U64) * U64(0x9E3779B97F4A7C15)
+        terms = mix(flat_.view("<u8") ^ mix(place + U64(1)))
+        return mix(sums(mix(terms + place), starts) + sizes.astype(U64) * U64(0xC2B2AE3D27D4EB4F))
 
 
 def gather(offsets: np.ndarray, data: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

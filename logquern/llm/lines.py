@@ -1,7 +1,8 @@
 """Line deduplication by an exact set-similarity join.
 
-A line's set holds its distinct words. A line goes when an earlier line, by (doc_id, place in the text), has a Jaccard
-similarity of NUM / DEN or more; whether that earlier line goes itself doesn't matter. Lines without a word stay.
+A line's set holds its distinct words. A line goes when an earlier line has a Jaccard similarity of NUM / DEN or more;
+whether that earlier line goes itself doesn't matter. Lines stand in order of (doc_id, hash of the whole text, place in the
+text). Lines without a word stay.
 
 1. Each line's words are put in one order, rare ones first. Two similar lines share a word of their prefixes (the first
    n - ceil(NUM / DEN * n) + 1 words). Of equal lines in a task the first one goes on, the others are out.
@@ -9,12 +10,16 @@ similarity of NUM / DEN or more; whether that earlier line goes itself doesn't m
    others, sizes, the place of the shared word and a signature (64 parities, 256 for long lines, of which two lines differ
    in at most as many as they have words apart) bound the similarity. The lines that passing pairs of a list connect are
    a group, named after its first line; so a list gives no more rows than it has lines.
-3. In a group whole sets are at hand, and a line goes if the search for its partners finds an earlier one. A group of
-   over GROUP lines is split into pairs of blocks, each line with every other.
+3. In a group whole sets are at hand, and a line goes if the search for its partners finds an earlier one. A group of over
+   GROUP lines is cut into blocks, each of which is searched together with the PIVOTS first lines of the group; a line for
+   which that finds nothing is then searched in all blocks. A group of m lines of which f are left over by the first
+   search costs m + f * m / GROUP rows.
 4. Texts are put together again from the lines that stay.
 
-Null texts stay null. Repeated rows (equal doc_id) are one document: both lose the same lines. Rows without doc_id stay
-as they are. All columns of the input are kept. Words are known by 64-bit hashes.
+Null texts stay null, empty ones empty. A row is known by (doc_id, 64-bit hash of its text): repeated rows are one document
+and all lose the same lines, rows with equal doc_id and different texts are documents of their own. Rows without doc_id
+stay as they are. A very long text is held by one task; its lines are lines like any other. All columns of the input are
+kept, whatever their names. An empty table stays empty. Words are known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as c
@@ -36,14 +41,17 @@ SKETCH_BITS = 21
 SHORT = 2048  # inverted lists up to this length are met pair by pair
 FEW = 16
 GROUP = 4096
+PIVOTS = 16  # first lines of a large group that each of its blocks is compared with
 FLAGS = 1 << 24
 BUFFER = 24 << 20
 LONG = 96  # words from which a line has all 256 parities
 
 #: Packed columns of a posting; doc is a place in the task's own list of documents.
-POSTING = (("word", "<u4"), ("id", "<u4"), ("n", "<u4"), ("place", "<u4"), ("signature", "<u8"), ("doc", "<i8"), ("line", "<u4"))
-LINE = np.dtype([("doc", "<i8"), ("line", "<u4")])
-MEMBER = np.dtype([("doc", "<i8"), ("line", "<u4"), ("doc0", "<i8"), ("line0", "<u4")])
+POSTING = (("word", "<u4"), ("id", "<u4"), ("n", "<u4"), ("place", "<u4"), ("signature", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("line", "<u4"))
+LINE = np.dtype([("doc", "<i8"), ("text", "<i8"), ("line", "<u4")])
+MEMBER = np.dtype([*LINE.descr, ("doc0", "<i8"), ("text0", "<i8"), ("line0", "<u4")])
+KEY = ["doc_id", "text_id", "line"]
+HEAD = ["doc0", "text0", "line0"]
 
 
 def split(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -67,9 +75,9 @@ def least(total):
     return -(-NUM * total // (NUM + DEN))
 
 
-def flag(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+def flag(doc: np.ndarray, text: np.ndarray, line: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return (c.mix(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + line.astype(np.uint64)) >> np.uint64(40)).astype(np.int64)
+        return (c.mix(c.mix(doc.astype(np.uint64)) + text.astype(np.uint64) + line.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64)
 
 
 def _postings(held, n: int):
@@ -80,17 +88,15 @@ def _postings(held, n: int):
         buffered, kept = 0, []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            doc, line, name, size, lens = (np.concatenate([k[i] for k in kept]) for i in range(5))
-            words, signature = np.concatenate([k[5] for k in kept]), np.concatenate([k[6] for k in kept])
-            order = np.lexsort((line, doc, size, name))
+            doc, text, line, name, size, lens, words, signature = (np.concatenate([k[i] for k in kept]) for i in range(8))
+            order = np.lexsort((line, text, doc, size, name))
             same = np.zeros(len(order), bool)
             same[1:] = (name[order[1:]] == name[order[:-1]]) & (size[order[1:]] == size[order[:-1]])
             out = order[same]
-            first_doc, first_line = doc[order], line[order]
-            at = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))[same]
-            out = out[(doc[out] != first_doc[at]) | (line[out] != first_line[at])]  # a repeated row isn't an earlier line
+            first = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))[same]]
+            out = out[(doc[out] != doc[first]) | (text[out] != text[first]) | (line[out] != line[first])]  # a repeated row isn't an earlier line
             rows = np.empty(len(out), LINE)
-            rows["doc"], rows["line"] = doc[out], line[out]
+            rows["doc"], rows["text"], rows["line"] = doc[out], text[out], line[out]
             sent = list(c.packed((c.mix(doc[out].astype(np.uint64)) % np.uint64(n)).astype(np.int64), rows, n))
             on = np.sort(order[~same])
             off, prefix = c.gather(np.concatenate([[0], np.cumsum(lens)]), words, on)
@@ -99,7 +105,7 @@ def _postings(held, n: int):
             pid = ((prefix >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
             by = np.lexsort((prefix & np.uint64(0xFFFFFFFF), pid))
             edges = np.searchsorted(pid[by], np.arange(n + 1))
-            columns = dict(word=prefix & np.uint64(0xFFFFFFFF), id=name[own] & np.uint64(0xFFFFFFFF), n=size[own], place=place, signature=np.bitwise_xor.reduce(signature, axis=1)[own], doc=doc[own], line=line[own])
+            columns = dict(word=prefix & np.uint64(0xFFFFFFFF), id=name[own] & np.uint64(0xFFFFFFFF), n=size[own], place=place, signature=np.bitwise_xor.reduce(signature, axis=1)[own], doc=doc[own], text=text[own], line=line[own])
             columns = {k: columns[k].astype(t)[by] for k, t in POSTING}
             full = np.flatnonzero(np.diff(edges))
             extra = lambda a, b: signature[own[by[a:b]][columns["n"][a:b] > LONG], 1:].tobytes()
@@ -114,13 +120,13 @@ def _postings(held, n: int):
             full = np.flatnonzero(size)
             if len(full):
                 size, starts = size[full], off[:-1][full]
-                doc = np.repeat(part.column("doc_id").to_numpy(), np.diff(offsets))[full]
+                doc, text = (np.repeat(part.column(k).to_numpy(), np.diff(offsets))[full] for k in ("doc_id", "text_id"))
                 with np.errstate(over="ignore"):
                     name = c.mix(np.add.reduceat(c.mix(words), starts) + size.astype(np.uint64))
                 bit, part_of = np.uint64(1) << (words & np.uint64(63)), words >> np.uint64(6) & np.uint64(3)
                 signature = np.stack([np.bitwise_xor.reduceat(np.where(part_of == k, bit, np.uint64(0)), starts) for k in range(4)], axis=1)
                 prefix = size - -(-NUM * size // DEN) + 1
-                kept.append((doc, c.within(offsets)[full], name, size, prefix, words[c.ranges(starts, prefix)], signature))
+                kept.append((doc, text, c.within(offsets)[full], name, size, prefix, words[c.ranges(starts, prefix)], signature))
             buffered += part.column("text").nbytes
             if buffered > BUFFER and kept:
                 yield from flush()
@@ -182,17 +188,17 @@ def _members(n: int):
         take(np.argsort(r["word"], kind="stable"))
         shared()
         # Equal lines: the first one stays, the others are out.
-        take(np.lexsort((r["line"], r["doc"], r["id"], r["signature"], r["n"], r["word"])))
+        take(np.lexsort((r["line"], r["text"], r["doc"], r["id"], r["signature"], r["n"], r["word"])))
         same = np.ones(len(r["word"]), bool)
         same[:1] = False
         for k in ("word", "n", "signature", "id"):
             same[1:] &= r[k][1:] == r[k][:-1]
         first = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
-        later = same & ((r["doc"] != r["doc"][first]) | (r["line"] != r["line"][first]))
-        out = _unique(np.rec.fromarrays([r["doc"][later], r["line"][later]], dtype=LINE))
+        later = same & ((r["doc"] != r["doc"][first]) | (r["text"] != r["text"][first]) | (r["line"] != r["line"][first]))
+        out = _unique(np.rec.fromarrays([r[k][later] for k in LINE.names], dtype=LINE))
         take(np.flatnonzero(~same))
         shared()
-        take(np.lexsort((r["line"], r["doc"], r["word"])))
+        take(np.lexsort((r["line"], r["text"], r["doc"], r["word"])))
         edges = c.runs(r["word"])
         sizes = np.diff(edges)
         label = np.arange(edges[-1])
@@ -250,7 +256,8 @@ def _members(n: int):
         sized = np.bincount(label, minlength=len(label))[label] > 1
         head = label[sized]
         rows = np.empty(len(head), MEMBER)
-        rows["doc"], rows["line"], rows["doc0"], rows["line0"] = r["doc"][sized], r["line"][sized], r["doc"][head], r["line"][head]
+        for k in LINE.names:
+            rows[k], rows[f"{k}0"] = r[k][sized], r[k][head]
         rows = _unique(rows)
         spread = lambda x: (c.mix(x["doc"].astype(np.uint64)) % np.uint64(n)).astype(np.int64)
         sent = [(p, None, d) for p, d in c.packed(spread(out), out, n)] + [(p, d, None) for p, d in c.packed(spread(rows), rows, n)]
@@ -270,23 +277,28 @@ def _unique(rows: np.ndarray) -> np.ndarray:
     return rows[new]
 
 
+FOUND = "doc_id long, text_id long, line long, doc0 long, text0 long, line0 long, bit long"
+
+
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of lines that are out (doc_id, line), and of members of groups (with doc0, line0)."""
+    """Rows of lines that are out, and of members of groups (with the group's first line)."""
     members, lines = [np.empty(0, MEMBER)], [np.empty(0, LINE)]
     for batch in batches:
         members += [np.frombuffer(d, MEMBER) for d in batch.column("members").drop_null().to_pylist()]
         lines += [np.frombuffer(d, LINE) for d in batch.column("lines").drop_null().to_pylist()]
-    out, found = _unique(np.concatenate(lines)), _unique(np.concatenate(members))
-    for s in range(0, len(out), 10_000):
-        x = out[s : s + 10_000]
-        yield pa.RecordBatch.from_pydict({"doc_id": x["doc"], "line": x["line"].astype(np.int64), "doc0": pa.nulls(len(x), pa.int64()), "line0": pa.nulls(len(x), pa.int64()), "bit": np.zeros(len(x), np.int64)})
-    for s in range(0, len(found), 10_000):
-        x = found[s : s + 10_000]
-        yield pa.RecordBatch.from_pydict({"doc_id": x["doc"], "line": x["line"].astype(np.int64), "doc0": x["doc0"], "line0": x["line0"].astype(np.int64), "bit": flag(x["doc"], x["line"])})
+    for rows in (_unique(np.concatenate(lines)), _unique(np.concatenate(members))):
+        for s in range(0, len(rows), 10_000):
+            x = rows[s : s + 10_000]
+            key = dict(zip(KEY, (x["doc"], x["text"], x["line"].astype(np.int64))))
+            if "doc0" in x.dtype.names:
+                head = dict(zip(HEAD, (x["doc0"], x["text0"], x["line0"].astype(np.int64))))
+            else:
+                head = {k: pa.nulls(len(x), pa.int64()) for k in HEAD}
+            yield pa.RecordBatch.from_pydict({**key, **head, "bit": flag(x["doc"], x["text"], x["line"])})
 
 
 def _arrays(flags):
-    """The sorted sets of flagged lines: doc_id, line, words."""
+    """The sorted sets of flagged lines: doc_id, text_id, line, words."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         set_ = np.unpackbits(flags.value).astype(bool)
@@ -294,10 +306,11 @@ def _arrays(flags):
         for part in c.slices(batches):
             part = part.filter(part.column("doc_id").is_valid())
             offsets, lines = split(part.column("text"))
-            doc, line = np.repeat(part.column("doc_id").to_numpy(), np.diff(offsets)), c.within(offsets)
-            some = np.flatnonzero(set_[flag(doc, line)])
+            doc, text = (np.repeat(part.column(k).to_numpy(), np.diff(offsets)) for k in ("doc_id", "text_id"))
+            line = c.within(offsets)
+            some = np.flatnonzero(set_[flag(doc, text, line)])
             off, words = line_sets(lines.take(pa.array(some)), none)
-            yield pa.RecordBatch.from_pydict({"doc_id": doc[some], "line": line[some], "words": c.strings(off * 8, words.view(np.uint8), pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc_id": doc[some], "text_id": text[some], "line": line[some], "words": c.strings(off * 8, words.view(np.uint8), pa.binary())})
 
     return each
 
@@ -320,29 +333,69 @@ def removed(own: list[np.ndarray]) -> np.ndarray:
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc0, line0, i, j, doc_id, line, words), in order; gives the lines that are out."""
-    key, lines, own = None, [], []
+    """Rows (group, block, asks, line, words), in order of group, block and line; gives the lines that are out. Where a
+    block has rows that ask, only these are searched."""
+    key, lines, own, asks = None, [], [], []
 
     def close() -> Iterator[pa.RecordBatch]:
         if len(lines) > 1:
-            gone = [lines[k] for k in np.flatnonzero(removed(own))]
-            if gone:
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array([x[0] for x in gone], pa.int64()), "line": pa.array([x[1] for x in gone], pa.int64())})
+            queries = np.flatnonzero(asks)
+            out = asked(own, queries) if len(queries) else np.flatnonzero(removed(own))
+            if len(out):
+                yield pa.RecordBatch.from_arrays([pa.array([lines[k][i] for k in out], pa.int64()) for i in range(3)], KEY)
 
     for batch in batches:
         for row in batch.to_pylist():
-            if (group := (row["doc0"], row["line0"], row["i"], row["j"])) != key:
+            if (group := tuple(row[k] for k in (*HEAD, "block"))) != key:
                 yield from close()
-                key, lines, own = group, [], []
-            if not lines or lines[-1] != (row["doc_id"], row["line"]):
-                lines.append((row["doc_id"], row["line"]))
-                own.append(np.frombuffer(row["words"], np.uint64))
+                key, lines, own, asks = group, [], [], []
+            if lines and lines[-1] == tuple(row[k] for k in KEY):
+                asks[-1] |= row["asks"]
+                continue
+            lines.append(tuple(row[k] for k in KEY))
+            own.append(np.frombuffer(row["words"], np.uint64))
+            asks.append(row["asks"])
     yield from close()
 
 
+def asked(own: list[np.ndarray], queries: np.ndarray) -> np.ndarray:
+    """Those of the queries that have an earlier similar set."""
+    index = Index(own, Rule(0, NUM, DEN))
+    return np.array([q for q in queries if (index.partners(int(q)) < q).any()], np.int64)
+
+
+def _search(sets: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """The lines of rows (line, group, block, asks) that are out."""
+    order = [*HEAD, "block"]
+    near = sets.join(rows, KEY).repartition(n, *order).sortWithinPartitions(*order, *KEY)
+    return near.mapInArrow(_groups, "doc_id long, text_id long, line long")
+
+
+def group_lines(sets: DataFrame, members: DataFrame, n: int) -> DataFrame:
+    """Lines that an earlier line of one of their groups (members: line and group) is similar to."""
+    sizes = c.stored(members.groupBy(*HEAD).agg(F.count("*").alias("many")))
+    no, first_block = F.lit(False).alias("asks"), F.lit(0).cast("long").alias("block")
+    if sizes.filter(F.col("many") > GROUP).isEmpty():
+        return _search(sets, members.select(*KEY, *HEAD, first_block, no), n)
+    cut = c.looked_up(members, sizes.withColumn("blocks", F.ceil(F.col("many") / GROUP)), HEAD, "many")
+    cut = c.stored(cut.withColumn("block", F.pmod(F.xxhash64(*KEY), F.col("blocks"))))
+    large = cut.filter("blocks > 1")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
+    # The first lines of each block, and of these the first ones of the group: a row for each block.
+    heads = large.groupBy(*HEAD, "block").agg(F.min(F.struct(*KEY)).alias("x"), F.first("blocks").alias("blocks"))
+    rank = F.row_number().over(Window.partitionBy(*HEAD).orderBy("x"))
+    pivots = heads.withColumn("rank", rank).filter(F.col("rank") <= PIVOTS).select("x.*", *HEAD, every)
+    found = c.stored(_search(sets, cut.select(*KEY, *HEAD, "block").union(pivots).distinct().select("*", no), n).distinct())
+    left = large.join(found, KEY, "left_anti")  # by line: keys are as many as lines
+    inside = large.select(*KEY, *HEAD, "block", no)
+    rows = left.select(*KEY, *HEAD, every).select("*", F.lit(True).alias("asks")).union(inside)
+    rows = rows.groupBy(*KEY, *HEAD, "block").agg(F.max("asks").alias("asks"))
+    return found.union(_search(sets, rows, n))
+
+
 def later_lines(docs: DataFrame) -> DataFrame:
-    """doc_id and place (from 0) of the lines that go."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id IS NOT NULL")
+    """doc_id, hash of the text and place (from 0) of the lines that go."""
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_id(F.col("text"))).filter("doc_id IS NOT NULL")
     sc, n = docs.sparkSession.sparkContext, c.partitions(docs)
 
     def tokens(part: pa.RecordBatch) -> np.ndarray:
@@ -352,37 +405,37 @@ def later_lines(docs: DataFrame) -> DataFrame:
     counts = sc.broadcast(rarity.counters(docs, tokens, SKETCH_BITS))
     lists = c.exchange(docs.mapInArrow(_postings(counts, n), "pid int, data binary, lines binary"), n)
     met = c.exchange(lists.mapInArrow(_members(n), "pid int, members binary, lines binary"), n)
-    found = c.stored(met.mapInArrow(_settle, "doc_id long, line long, doc0 long, line0 long, bit long"))
+    found = c.stored(met.mapInArrow(_settle, FOUND))
     members = found.filter("doc0 IS NOT NULL")
     flags = sc.broadcast(np.packbits(rarity.bitmap(members.select("bit"), FLAGS)))
-    sets = docs.mapInArrow(_arrays(flags), "doc_id long, line long, words binary")
-    blocks = members.groupBy("doc0", "line0").agg(F.ceil(F.count("*") / GROUP).alias("blocks"))
-    split_ = members.join(blocks, ["doc0", "line0"]).withColumn("block", F.pmod(F.xxhash64("doc_id", "line"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    split_ = split_.select("doc_id", "line", "doc0", "line0", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    group = ["doc0", "line0", "i", "j"]
-    near = sets.join(split_, ["doc_id", "line"]).repartition(n, *group).sortWithinPartitions(*group, "doc_id", "line").mapInArrow(_groups, "doc_id long, line long")
-    return found.filter("doc0 IS NULL").select("doc_id", "line").union(near).distinct()
+    sets = docs.mapInArrow(_arrays(flags), "doc_id long, text_id long, line long, words binary")
+    return found.filter("doc0 IS NULL").select(*KEY).union(group_lines(sets, members.select(*KEY, *HEAD), n)).distinct()
+
+
+def text_id(text: Column) -> Column:
+    return F.xxhash64(text.cast("string")).alias("text_id")
 
 
 def deduplicate(docs: DataFrame, empty: bool = True) -> DataFrame:
     """docs without the lines that go; n_chars, where there is such a column, follows. empty=False: documents of which
     lines went and no word is left go too."""
-    gone = later_lines(docs).groupBy("doc_id").agg(F.collect_list("line").alias("_gone"))  # as long as the document itself
-    gone = gone.select(F.col("doc_id").alias("_doc"), "_gone").hint("shuffle_hash")
     names = docs.columns
-    joined = docs.join(gone, docs["doc_id"] == gone["_doc"], "left").drop("_doc")
+    doc, text, gone = c.fresh(docs, "lost_doc", "lost_text", "lost_lines")
+    lost = later_lines(docs).groupBy("doc_id", "text_id").agg(F.collect_list("line").alias(gone))  # as long as the document itself
+    lost = lost.withColumnsRenamed({"doc_id": doc, "text_id": text}).hint("shuffle_hash")
+    joined = docs.join(lost, (docs["doc_id"].cast("long") == lost[doc]) & (text_id(docs["text"]) == lost[text]), "left").drop(doc, text)
     at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in c.slices(batches):
-            texts, kept = part.column("text").to_pylist(), np.ones(part.num_rows, bool)
-            for i, lines in enumerate(part.column("_gone").to_pylist()):
+            texts, kept = part.column(at).to_pylist(), np.ones(part.num_rows, bool)
+            changed = part.column(len(names)).is_valid()
+            for i, lines in enumerate(part.column(len(names)).to_pylist()):
                 if lines:
                     lines = set(lines)
                     texts[i] = "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in lines)
                     kept[i] = empty or bool(texts[i].strip())
             columns = list(part.columns)[: len(names)]
-            changed = part.column("_gone").is_valid()
             columns[at] = pa.array(texts, pa.string())
             if chars is not None:
                 columns[chars] = pc.if_else(changed, pc.utf8_length(columns[at]).cast(columns[chars].type), columns[chars])

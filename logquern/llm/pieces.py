@@ -59,13 +59,22 @@ class Vocabulary:
         self.tables = {}
         for k in range(1, self.longest + 1):
             if own := [p for p in self.of if len(p) == k]:
-                keys = c.hashes(pa.array(own, pa.binary()))
+                keys = rolling(pa.array(own, pa.binary()))
                 self.tables[k] = _table(keys, np.array([self.of[p] for p in own]))
         self.scores = np.array([*self.score, -np.inf])
         self.offsets = np.concatenate([[0], np.cumsum([len(p) for p in self.bytes])])
         self.data = np.frombuffer(b"".join(self.bytes), np.uint8)
 
 
+def rolling(values: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each string that the one of a string with a byte more can be made from."""
+    offsets, data = c.raw(values)
+    sizes = np.diff(offsets)
+    with np.errstate(over="ignore"):
+        terms = (data.astype(np.uint64) + np.uint64(1)) * c.powers(int(sizes.max(initial=0)) + 1)[c.within(offsets)]
+        return c.mix(c.sums(terms, offsets) + sizes.astype(np.uint64))
+
+
 def _table(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     bits = max(8, int(np.ceil(np.log2(len(keys) * 8))))
     at, held = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
@@ -164,7 +173,7 @@ def batch(distinct: pa.Array, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(-sizes, kind="stable")
     alive = np.searchsorted(-sizes[order], -np.arange(int(sizes.max(initial=0))), side="left")
     starts = offsets[:-1][order]
-    # The hash of the k bytes that end at a place is that of common.hashes: terms of the bytes in order.
+    # The hash of the k bytes that end at a place, as rolling() has it: terms of the bytes in order.
     with np.errstate(over="ignore"):
         base = c.powers(v.longest + 2)
         terms = data.astype(np.uint64) + np.uint64(1)
