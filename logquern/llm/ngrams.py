@@ -360,24 +360,24 @@ def _groups(rule: Rule):
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, component (the least node reachable) of every node of links u, v: alternating stars, each round written."""
+    """node, component (the least node reachable) of every node of links u, v: alternating stars, each round written. The
+    rows of a node with very many links are two numbers each; adaptive execution splits them in a join."""
     edges = c.stored(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before, total = None, 2 * edges.count()
-    if not total:
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    while True:
+    before = None
+    while not edges.isEmpty():
         both = edges.union(edges.select("v", "u"))  # large star: larger neighbours go to the least one
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("many"))
-        large = c.looked_up(both.filter("v > u"), least, ["u"], "many", total).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("many"))  # small star: smaller neighbours and itself go to the least
-        small = c.looked_up(large, low, ["u"], "many", total).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        now_edges = c.stored(small.union(low.select("u", F.col("m").alias("v"))).distinct())
-        now = now_edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))  # small star: smaller neighbours and itself go to the least
+        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        following = c.stored(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        now = following.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         c.forget(edges)
-        edges, total = now_edges, 2 * now[0]
+        edges = following
         if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            break
         before = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
 def _search(sets_: DataFrame, asked: DataFrame, rule: Rule, n: int) -> DataFrame:
