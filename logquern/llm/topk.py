@@ -1,15 +1,18 @@
 """Exact top-k inner products by aggregation without random access.
 
-For each dimension the candidates of a block stand in a list by that component. All lists are read to the same depth,
-from the top where the query's component is positive and from the bottom where it is negative. What has been read of a
-candidate and the place that its other lists have come to give a lower and an upper bound of its score. Candidates whose
-upper bound is below the k-th best lower bound are out; once few enough are left no outsider can qualify and the scores
-of those left are resolved. Bounds are kept for whole blocks of queries and candidates at a time: after reading to a
-depth, the upper bounds of all pairs are a matrix product in which unread components count as the last value read.
-
-Components are floor(scale * x) in double precision; scores are exact integers. Vectors that are null or hold null or
-non-finite components take no part; of several rows with one vec_id the least vector stands for all; vectors of other
-lengths than a query's are no candidates of it. An empty table, or no query, gives no rows.
+For each dimension the candidates of a block stand in a list by that component. For a query all lists are read in step,
+from the top where the query's component is positive and from the bottom where it is negative; the components that have
+been read add up to a candidate's part of the score. For what is unread of a candidate, the value that its list has come to
+gives an upper bound and the list's far end a lower one. Candidates whose upper bound is below the k-th best lower bound are
+out; once as few are left as FEW, or the lists are at their end, the scores of those left are resolved. Dense vectors
+without a skew make the lists be read nearly to the end: on such data the plain product would cost less, and the bounds are
+here for the method's sake.
+
+Components are floor(scale * x) in double precision; scores are exact integers, cut to the range of a long. Vectors that
+are null or hold null or non-finite components take no part, nor do rows without vec_id. Every other row is a candidate,
+also where rows share a vec_id; a query has no candidate of its own vec_id, and the rows of one query id are ranked
+together, ties by vec_id. Vectors of other lengths than a query's are no candidates of it. Extra columns are not read. An
+empty table, or no query, gives no rows.
 """
 
 from __future__ import annotations
@@ -28,44 +31,77 @@ K = 5
 EVERY = 50
 BLOCK = 8192  # candidates of a block
 QUERY_BLOCKS = 25  # blocks whose queries are searched together
-DEPTHS = (0.5, 0.75, 0.9)
-FEW = 64
-EXACT = 1 << 20  # components up to this keep products in doubles exact
+DEPTHS = (1 / 16, 1 / 8, 1 / 4, 1 / 2, 3 / 4, 1)  # of the lists, where bounds are compared
+FEW = 16
+LONG = (1 << 63) - 1
+
+
+class Lists:
+    """A block's candidates, and for each dimension their places in order of the component."""
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray):
+        self.rows, self.ids = rows, ids
+        self.order = np.argsort(rows, axis=0, kind="stable")
+
+    def search(self, query: np.ndarray, own: int, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+        """Places of candidates among which the k best of a query are, and their scores. own: the query's id."""
+        rows = self.rows
+        n, d = rows.shape
+        dims = np.flatnonzero(query != 0)
+        down = query[dims] > 0  # read from the top
+        part = np.zeros(n, rows.dtype)
+        seen = np.zeros((n, len(dims)), bool)
+        candidate = self.ids != own
+        alive, read = np.flatnonzero(candidate), 0
+        far = np.where(down, rows[self.order[0, dims], dims], rows[self.order[-1, dims], dims])
+        for depth in DEPTHS:
+            if len(alive) <= max(FEW, k) or not len(dims):
+                break
+            until = max(read + 1, int(depth * n)) if depth < 1 else n
+            step = np.where(down, self.order[n - until : n - read, dims][::-1], self.order[read:until, dims])
+            for j, dim in enumerate(dims):  # one list after the other, each from where it was left
+                at = step[:, j]
+                part[at] += query[dim] * rows[at, dim]
+                seen[at, j] = True
+            read = until
+            last = rows[step[-1], dims]
+            weight = query[dims]
+            upper = part[alive] + ((~seen[alive]) * (weight * last)).sum(axis=1)
+            lower = part[alive] + ((~seen[alive]) * (weight * far)).sum(axis=1)
+            if len(alive) > k:
+                floor = np.sort(lower)[len(alive) - k]
+                if floor > -LONG - 1:  # scores beyond a long's range are ties
+                    alive = alive[upper >= min(floor, LONG)]
+        return alive, _dots(query, rows[alive])
+
+
+def _dots(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    return (rows * query).sum(axis=1)
+
+
+def integers(values: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whole doubles as integers: of 64 bits where no sum of products can pass them, else of any size."""
+    largest = lambda x: float(np.abs(x).max(initial=0))
+    wide = largest(values) * largest(other) * max(1, values.shape[1]) >= 2.0**62 or max(largest(values), largest(other)) >= 2.0**62
+    make = (lambda x: np.array([[int(v) for v in row] for row in x], object).reshape(x.shape)) if wide else (lambda x: x.astype(np.int64))
+    return make(values), make(other)
 
 
 def search(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of the queries, ids and scores of the k best rows of each; all where there are fewer."""
-    if max(np.abs(queries).max(initial=0), np.abs(rows).max(initial=0)) > EXACT:
-        return _pick(*(lambda q, r: (q, r, _dots(queries[q], rows[r])))(*np.nonzero(query_ids[:, None] != row_ids)), row_ids, k)
-    q, r = queries.astype(np.float64), rows.astype(np.float64)
-    up, down = np.maximum(q, 0), np.minimum(q, 0)
-    lists = np.sort(r, axis=0)
-    least, most = lists[0], lists[-1]
-    own = query_ids[:, None] == row_ids
-    alive = ~own
-    for depth in DEPTHS if len(rows) > FEW else ():
-        read = min(len(rows) - 1, int(depth * len(rows)))
-        top, bottom = lists[len(rows) - 1 - read], lists[read]  # the last values read
-        upper = up @ np.maximum(r, top).T + down @ np.minimum(r, bottom).T
-        lower = up @ np.where(r >= top, r, least).T + down @ np.where(r <= bottom, r, most).T
-        lower[~alive] = -np.inf
-        floor = -np.partition(-lower, min(k, len(rows)) - 1, axis=1)[:, min(k, len(rows)) - 1]
-        alive &= upper >= floor[:, None]
-        if alive.sum() <= FEW * len(q):
-            break
-    at, of = np.nonzero(alive)
-    return _pick(at, of, _dots(queries[at], rows[of]), row_ids, k)
-
-
-def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.empty(len(a), np.int64)
-    for i in range(0, len(a), 1 << 16):
-        out[i : i + (1 << 16)] = np.einsum("ij,ij->i", a[i : i + (1 << 16)], b[i : i + (1 << 16)])
-    return out
+    queries, rows = integers(queries, rows)
+    lists = Lists(rows, row_ids)
+    at, of, score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for q in range(len(queries)):
+        found, scores = lists.search(queries[q], int(query_ids[q]), k)
+        at.append(np.full(len(found), q))
+        of.append(found)
+        score.append(np.array([min(max(int(x), -LONG - 1), LONG) for x in scores], np.int64) if scores.dtype == object else scores)
+    return _pick(np.concatenate(at), np.concatenate(of), np.concatenate(score), row_ids, k)
 
 
 def _pick(at: np.ndarray, of: np.ndarray, score: np.ndarray, row_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.lexsort((row_ids[of], -score, at))
+    order = np.lexsort((row_ids[of], ~score, at))  # ~ turns the order round without an overflow
     at, ids, score = at[order], row_ids[of][order], score[order]
     best = c.within(c.runs(at)) < k
     return at[best], ids[best], score[best]
@@ -86,30 +122,31 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for size in np.unique(sizes[good]):
             some = np.flatnonzero(good & (sizes == size))
             ids.append(batch.column("vec_id").take(pa.array(some)).to_numpy())
-            rows.append(np.floor(SCALE * x[c.ranges((ends - sizes)[some], sizes[some])].reshape(-1, size)).astype(np.int64))
+            rows.append(np.floor(SCALE * x[c.ranges((ends - sizes)[some], sizes[some])].reshape(-1, size)))
     for size in sorted({r.shape[1] for r in rows}):
         i = np.concatenate([a for a, r in zip(ids, rows) if r.shape[1] == size])
         r = np.concatenate([r for r in rows if r.shape[1] == size])
         order = np.lexsort((*r.T[::-1], i))
         i, r = i[order], r[order]
-        first = c.runs(i)[:-1]
-        i, r = i[first], r[first]
-        kind = np.int16 if np.abs(r).max() < 1 << 15 else np.int64
+        narrow = np.abs(r).max() < 1 << 15
         for what, some in (("c", slice(None)), ("q", i % EVERY == 0)):
             if len(i[some]):
-                yield pa.RecordBatch.from_pydict({"kind": [what], "size": pa.array([size], pa.int32()), "wide": [kind is np.int64], "ids": [i[some].tobytes()], "vectors": [r[some].astype(kind).tobytes()]})
+                yield pa.RecordBatch.from_pydict({"kind": [what], "size": pa.array([size], pa.int32()), "wide": [not narrow], "ids": [i[some].tobytes()], "vectors": [r[some].astype(np.int16 if narrow else np.float64).tobytes()]})
+
+
+def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    vectors = np.frombuffer(row["vectors"], np.float64 if row["wide"] else np.int16)
+    return np.frombuffer(row["ids"], np.int64), vectors.reshape(-1, row["size"]).astype(np.float64)
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     got = [row for batch in batches for row in batch.to_pylist()]
-    unpack = lambda row: (np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], np.int64 if row["wide"] else np.int16).reshape(-1, row["size"]).astype(np.int64))
     for own in (row for row in got if row["kind"] == "c"):
-        row_ids, rows = unpack(own)
+        row_ids, rows = _unpack(own)
         for query in (row for row in got if row["kind"] == "q" and row["size"] == own["size"]):
-            query_ids, queries = unpack(query)
-            for i in range(0, len(queries), 256):
-                at, ids, scores = search(queries[i : i + 256], query_ids[i : i + 256], rows, row_ids)
-                yield pa.RecordBatch.from_arrays([pa.array(query_ids[i : i + 256][at]), pa.array(ids), pa.array(scores)], ["query_id", "vec_id", "score"])
+            query_ids, queries = _unpack(query)
+            at, ids, scores = search(queries, query_ids, rows, row_ids)
+            yield pa.RecordBatch.from_arrays([pa.array(query_ids[at]), pa.array(ids), pa.array(scores)], ["query_id", "vec_id", "score"])
 
 
 def top_k(vectors: DataFrame, k: int = K) -> DataFrame:
