@@ -9,7 +9,11 @@ order of place.
 
 Likeness is the Dice share of anchors that match: same hash (the i-th of equal hashes with the i-th) at places that
 differ by at most SHIFT of the longer text (64 at least). Null texts are empty; an empty text has an empty fingerprint,
-two empty fingerprints have likeness 1, an empty and another 0. Rows with equal doc_id keep their order by text.
+two empty fingerprints have likeness 1, an empty and another 0.
+
+The next document of a row is the next one in order of (doc_id, text); after the last one comes the first. Rows without
+doc_id are documents too: they stand beyond ids of 2 ** 62, in order of a hash of their text. Repeated rows are documents
+of their own. A very long text is held by one task, whole. Extra columns are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ K, S = 16, 4  # powers of 2
 HEADS, TAILS = (1, 2, 4, 8), (4, 8)
 SHIFT = 0.25
 W = K - S + 1
+RANGES = 4096  # of doc_id at most: their bounds stand in the plan
 
 
 def anchors(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -140,17 +145,19 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """One shuffle of the texts: ranges of doc_id, each with a copy of the first document of the next range."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter(F.col("doc_id").isNotNull())
-    n = c.partitions(docs)
-    ids = docs.select("doc_id")
-    bounds = sorted(set(ids.agg(F.percentile_approx("doc_id", [(i + 1) / n for i in range(n - 1)] or [0.5], 20 * n)).first()[0] or []))
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    place = F.coalesce("doc_id", (F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 62))).cast("long"))
+    docs = docs.select("doc_id", "text", place.alias("place"))
+    n = min(c.partitions(docs), RANGES)  # a range is read in order, a slice at a time, so it may be large
+    ids = docs.select("place")
+    bounds = sorted(set(ids.agg(F.percentile_approx("place", [(i + 1) / n for i in range(n - 1)] or [0.5], 20 * n)).first()[0] or []))
     wide = max(1, round(len(bounds) ** 0.5))
     groups = [bounds[i : i + wide] for i in range(0, len(bounds), wide)]
-    below = lambda values: F.size(F.filter(values, lambda b: b < F.col("doc_id")))
+    below = lambda values: F.size(F.filter(values, lambda b: b < F.col("place")))
     longs = lambda values: F.array(*[F.lit(v).cast("long") for v in values]) if values else F.array().cast("array<long>")
     coarse = below(longs([g[-1] for g in groups]))
     bucket = coarse * wide + F.coalesce(below(F.get(F.array(*[longs(g) for g in groups]), coarse)), F.lit(0)) if groups else F.lit(0)
-    heads = {r[0]: r[1] for r in ids.groupBy(bucket.alias("pid")).agg(F.min("doc_id")).collect()}  # a row for each range
+    heads = {r[0]: r[1] for r in ids.groupBy(bucket.alias("pid")).agg(F.min("place")).collect()}  # a row for each range
     if not heads:
         return docs.sparkSession.createDataFrame([], SCHEMA)
     order = sorted(heads)
@@ -158,8 +165,8 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     also = F.get(F.array(*[F.struct(F.lit(heads.get(p)).cast("long").alias("head"), F.lit(before.get(heads.get(p))).cast("int").alias("pid")) for p in range(max(order) + 1)]), bucket)
     own = F.struct(bucket.cast("int").alias("pid"), F.lit(False).alias("extra"))
     copy = F.struct(also["pid"].alias("pid"), F.lit(True).alias("extra"))
-    sent = docs.withColumn("to", F.explode(F.when(also["head"] == F.col("doc_id"), F.array(own, copy)).otherwise(F.array(own)))).select("doc_id", "text", "to.*")
-    return c.exchange(sent, max(order) + 1).sortWithinPartitions("extra", "doc_id", "text").mapInArrow(_each, SCHEMA)
+    sent = docs.withColumn("to", F.explode(F.when(also["head"] == F.col("place"), F.array(own, copy)).otherwise(F.array(own)))).select("doc_id", "text", "place", "to.*")
+    return c.exchange(sent, max(order) + 1).sortWithinPartitions("extra", "place", "text").mapInArrow(_each, SCHEMA)
 
 
 def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
