@@ -60,7 +60,7 @@ class Vocabulary:
         for k in range(1, self.longest + 1):
             if own := [p for p in self.of if len(p) == k]:
                 keys = rolling(pa.array(own, pa.binary()))
-                self.tables[k] = _table(keys, np.array([self.of[p] for p in own]))
+                self.tables[k] = table(keys, np.array([self.of[p] for p in own]))
         self.scores = np.array([*self.score, -np.inf])
         self.offsets = np.concatenate([[0], np.cumsum([len(p) for p in self.bytes])])
         self.data = np.frombuffer(b"".join(self.bytes), np.uint8)
@@ -75,7 +75,7 @@ def rolling(values: pa.Array) -> np.ndarray:
         return c.mix(c.sums(terms, offsets) + sizes.astype(np.uint64))
 
 
-def _table(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def table(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     bits = max(8, int(np.ceil(np.log2(len(keys) * 8))))
     at, held = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
     for key, slot, i in zip(keys, (keys >> np.uint64(64 - bits)).astype(np.int64), ids):
@@ -85,8 +85,8 @@ def _table(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, held
 
 
-def _find(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, none: int) -> np.ndarray:
-    at, held = table
+def find(held_: tuple[np.ndarray, np.ndarray], keys: np.ndarray, none: int) -> np.ndarray:
+    at, held = held_
     slot = (keys >> np.uint64(64 - (len(held).bit_length() - 1))).astype(np.int64)
     out = np.full(len(keys), none, np.int32)
     left = np.arange(len(keys))
@@ -185,7 +185,7 @@ def batch(distinct: pa.Array, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
             if k in v.tables:
                 inside = np.flatnonzero(place >= k - 1)
                 ids = np.full(total, none, np.int32)
-                ids[inside] = _find(v.tables[k], c.mix(rolled[inside] + np.uint64(k)), none)
+                ids[inside] = find(v.tables[k], c.mix(rolled[inside] + np.uint64(k)), none)
                 found[k] = ids
     n = len(order)
     best = np.full((len(alive) + 1, n), -np.inf)
