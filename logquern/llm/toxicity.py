@@ -2,16 +2,21 @@
 
 Features are the presence of words, and of word beginnings of 4, 5 and 6 characters, so that inflected insults are known
 by their stem. The most telling ones (by G-squared, seen in at least MIN_DOCS labelled documents) and every identity
-term have a weight. Training minimises the logistic loss, an L2 term and FAIR times the squared change of the score when
-the identity terms of a labelled text are swapped for others of their group, so a group's mere mention weighs nothing.
-
-Features are chosen and weights fitted on at most SAMPLE labelled rows, those with the least hash of doc_id. Every whole
-text is scored. Null and empty texts have no features and score the base rate; without labels of both kinds every text
-scores the share of label 1.
+term have a weight. Training minimises the logistic loss, an L2 term and FAIR times the mean squared change of the score
+when the identity terms of a sentence are swapped for others of their group: each sentence of the labelled texts that holds
+one, and a neutral sentence for each term. So within a group no term weighs more than another, and what they share is
+learned from the labels of all of them.
+
+Features are chosen and weights fitted on at most SAMPLE labelled rows, those with the least hash of doc_id (of rows with
+equal doc_id all take part). Every whole text is scored; a very long one is held by one task. Null and empty texts have no
+features and score the base rate; without labels of both kinds every text scores the share of label 1. Repeated rows have
+equal scores, rows without doc_id theirs too. Extra columns are kept by `clean` and not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,18 +90,31 @@ def _doc_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_pydict({"feature": pa.array(list(names), pa.string()).filter(pa.array(kept)), "n1": n1[kept], "n0": (n - n1)[kept]})
 
 
-def _swapped(texts: list[str], rng: np.random.Generator) -> list[str | None]:
-    """Texts with every identity term swapped; None where there is none."""
-    other = {w: [x for x in group if x != w] for group in IDENTITY for w in group}
-    out: list[str | None] = []
-    for t in texts:
-        ws = t.lower().split()
-        bare = ["".join(filter(str.isalpha, w)) for w in ws]
-        if not any(b in other for b in bare):
-            out.append(None)
-        else:
-            out.append(" ".join(other[b][int(rng.integers(len(other[b])))] if b in other else w for w, b in zip(ws, bare)))
-    return out
+OTHERS = {word: [x for x in group if x != word] for group in IDENTITY for word in group}
+NEUTRAL = "the {} people of this town"
+
+
+def swapped(sentence: str) -> str | None:
+    """The sentence with every identity term swapped for one that the sentence and the term decide; None without one."""
+    words = sentence.lower().split()
+    bare = ["".join(filter(str.isalpha, w)) for w in words]
+    if not any(b in OTHERS for b in bare):
+        return None
+    pick = lambda b: OTHERS[b][zlib.crc32(f"{b} {sentence}".encode("utf-8", "surrogatepass")) % len(OTHERS[b])]
+    return " ".join(pick(b) if b in OTHERS else w for w, b in zip(words, bare))
+
+
+def counterfactuals(texts: list[str]) -> tuple[list[str], list[str]]:
+    """Sentences that hold an identity term, and the same ones swapped."""
+    sentences = [s for t in texts for s in re.split(r"[.!?\n]+", t)]
+    pairs = [(s, t) for s in sentences if (t := swapped(s)) is not None]
+    return [s for s, _ in pairs], [t for _, t in pairs]
+
+
+def feature_lists(texts: list[str], index: dict[str, int]) -> list[list[int]]:
+    docs, feats = _present(pa.array(texts, pa.string()), index)
+    edges = np.searchsorted(docs, np.arange(len(texts) + 1))
+    return [feats[a:b].tolist() for a, b in zip(edges, edges[1:])]
 
 
 class Model:
@@ -122,46 +140,46 @@ def train(labelled: DataFrame) -> Model:
     gain = F.when(F.col("a") > 0, F.col("a") * F.log(F.col("a") / ea)).otherwise(0.0) + F.when(F.col("b") > 0, F.col("b") * F.log(F.col("b") / eb)).otherwise(0.0)
     best = counts.filter(F.col("a") + F.col("b") >= MIN_DOCS).withColumn("gain", gain).filter("gain > 4").orderBy(F.desc("gain"), "feature").limit(FEATURES).select("feature").collect()
     index = {f: i for i, f in enumerate(dict.fromkeys([r[0] for r in best] + [w for g in IDENTITY for w in g]))}
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng(0)
+        """A row for each text, with its label, and for each pair of sentences, with the features of both."""
         for part in c.slices(batches):
-            y = np.asarray(part.column("y")).astype(np.int64)
-            docs, feats = _present(part.column("text"), index)
             texts = part.column("text").to_pylist()
-            other = _swapped(texts, rng)
-            at = [i for i, t in enumerate(other) if t is not None]
-            sdocs, sfeats = _present(pa.array([other[i] for i in at], pa.string()), index)
-            ids = [np.unique(feats[a:b]).tolist() for a, b in zip(*(lambda e: (e[:-1], e[1:]))(np.searchsorted(docs, np.arange(len(y) + 1))))]
-            swaps: list = [None] * len(y)
-            edges = np.searchsorted(sdocs, np.arange(len(at) + 1))
-            for k, i in enumerate(at):
-                swaps[i] = sfeats[edges[k] : edges[k + 1]].tolist()
-            yield pa.RecordBatch.from_pydict({"y": y, "f": pa.array(ids, pa.list_(pa.int64())), "g": pa.array(swaps, pa.list_(pa.int64()))})
-
-    got = labelled.select("text", "y").mapInArrow(rows, "y long, f array<long>, g array<long>").toArrow()
-    return Model(index, *fit(got, len(index)))
-
-
-def fit(got: pa.Table, width: int, rounds: int = 600) -> tuple[np.ndarray, float]:
-    y = got["y"].to_numpy().astype(float)
-    pick = lambda name: c.flat(got[name].combine_chunks().fill_null([]) if got[name].null_count else got[name].combine_chunks())
-    off, ids = pick("f")
-    ids = ids.to_numpy(zero_copy_only=False).astype(np.int64)
-    goff, gids = pick("g")
-    gids = gids.to_numpy(zero_copy_only=False).astype(np.int64)
-    row, grow = np.repeat(np.arange(len(y)), np.diff(off)), np.repeat(np.arange(len(y)), np.diff(goff))
-    swapped = ~np.asarray(got["g"].combine_chunks().is_null())
+            one, other = counterfactuals(texts)
+            y = [*part.column("y").to_pylist(), *[None] * len(one)]
+            f = feature_lists(texts, index) + feature_lists(one, index)
+            g = [None] * len(texts) + feature_lists(other, index)
+            yield pa.RecordBatch.from_pydict({"y": pa.array(y, pa.int64()), "f": pa.array(f, pa.list_(pa.int64())), "g": pa.array(g, pa.list_(pa.int64()))})
+
+    got = labelled.select("text", "y").mapInArrow(rows, "y long, f array<long>, g array<long>").toArrow().combine_chunks()
+    own = got["y"].is_valid()
+    y, texts = got["y"].drop_null().to_numpy().astype(float), got.filter(own)["f"].to_pylist()
+    neutral = [NEUTRAL.format(w) for group in IDENTITY for w in group]
+    pairs = got.filter(pc.invert(own))
+    one = pairs["f"].to_pylist() + feature_lists(neutral, index)
+    other = pairs["g"].to_pylist() + feature_lists([swapped(s) for s in neutral], index)
+    return Model(index, *fit(y, texts, one, other, len(index)))
+
+
+def fit(y: np.ndarray, texts: list[list[int]], one: list[list[int]], other: list[list[int]], width: int, rounds: int = 600) -> tuple[np.ndarray, float]:
+    """Weights and bias. texts: features by text; one and other: those of sentences whose scores are to be equal."""
+
+    def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.array([i for x in lists for i in x], np.int64)
+
+    (row, ids), (arow, aids), (brow, bids) = flat(texts), flat(one), flat(other)
     w, b = np.zeros(width), 0.0
     m, v, mb, vb = np.zeros(width), np.zeros(width), 0.0, 0.0
     for t in range(1, rounds + 1):
         z = np.bincount(row, weights=w[ids], minlength=len(y)) + b
-        d = (1 / (1 + np.exp(-z)) - y) / len(y)
-        change = np.where(swapped, z - b - np.bincount(grow, weights=w[gids], minlength=len(y)), 0.0)
-        pull = 2 * FAIR * change / max(1, swapped.sum())
-        g = np.bincount(ids, weights=(d + pull)[row], minlength=width) - np.bincount(gids, weights=pull[grow], minlength=width) + L2 * w
+        d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
+        change = np.bincount(arow, weights=w[aids], minlength=len(one)) - np.bincount(brow, weights=w[bids], minlength=len(one))
+        pull = 2 * FAIR * change / max(1, len(one))
+        g = np.bincount(ids, weights=d[row], minlength=width) + L2 * w
+        g += np.bincount(aids, weights=pull[arow], minlength=width) - np.bincount(bids, weights=pull[brow], minlength=width)
         gb = d.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
-        rate = 0.1
+        rate = 0.1 if t <= rounds // 2 else 0.02
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         b -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-8)
     return w, float(b)
