@@ -43,3 +43,13 @@ def dedup_key(src_ip: Column, event_type: Column, line: Column) -> Column:
     """src_ip|event_type where there is either, else the first 64 characters of the record."""
     src, kind = F.coalesce(src_ip, F.lit("")), F.coalesce(event_type, F.lit(""))
     return F.when((src != "") | (kind != ""), F.concat_ws("|", src, kind)).otherwise(F.substring(line, 1, 64))
+
+
+def human_bytes(n: int) -> str:
+    """1,536 is 1.5 KB."""
+    size = float(n)
+    for unit in ("B", "KB", "MB", "GB"):
+        if size < 1024:
+            return f"{int(size)} B" if unit == "B" else f"{size:.1f} {unit}"
+        size /= 1024
+    return f"{size:.1f} TB"

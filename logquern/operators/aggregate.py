@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,7 +19,7 @@ def group_count(df: DataFrame, *keys: str) -> DataFrame:
 
 def coverage(df: DataFrame, fields: list[str]) -> DataFrame:
     """field, filled, total, pct: one pass over the table, whatever the number of fields."""
-    one = df.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(filled(F.col(f))).alias(f) for f in fields])
+    one = df.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(filled(F.col(f).cast("string"))).alias(f) for f in fields])
     rows = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("filled"), F.col("total")) for f in fields]))
     return one.select(rows.alias("r")).select("r.*").withColumn("pct", F.round(100 * F.col("filled") / F.col("total"), 4))
 
@@ -30,6 +31,15 @@ def trend(df: DataFrame, key: str, time: Column, window: Range, width: timedelta
     return inside.groupBy(key).agg(*[F.count_if(F.col("_b") == i).alias(f"b{i}") for i in range(n)], F.count(F.lit(1)).alias("total"))
 
 
+def trend_table(df: DataFrame, key: str, time: Column, window: Range, width: timedelta, ungrouped: bool = False) -> DataFrame:
+    """trend, the largest total first. ungrouped: where no row has the key, one row `(total, ungrouped)` of all of them."""
+    if ungrouped:
+        any_ = df.filter(window.contains(time)).agg(F.max(filled(F.col(key)))).first()[0]
+        if any_ is False:
+            df = df.withColumn(key, F.lit("(total, ungrouped)"))
+    return trend(df, key, time, window, width).orderBy(F.desc("total"), key)
+
+
 def series(df: DataFrame, time: Column, window: Range, width: timedelta) -> DataFrame:
     """bucket, count of every tumbling bucket of the window, empty ones too."""
     counted = df.filter(window.contains(time)).groupBy(series_bucket(time, window, width).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
@@ -95,3 +105,25 @@ def breakdown(df: DataFrame, key: str, parts: list[str]) -> DataFrame:
     inner = group_count(df, key, *parts)
     item = F.struct(F.concat(F.concat_ws("/", *parts), F.lit(":"), F.col("count").cast("string")).alias("item"))
     return inner.groupBy(key).agg(F.sum("count").alias("total"), F.array_join(F.array_sort(F.collect_list(item["item"])), ";").alias("parts"))
+
+
+def normalization_rate(df: DataFrame) -> DataFrame:
+    """total, normalized, pct."""
+    one = df.agg(F.count(F.lit(1)).alias("total"), F.count_if("_normalized").alias("normalized"))
+    return one.withColumn("pct", F.round(100 * F.col("normalized") / F.nullif(F.col("total"), F.lit(0)), 4))
+
+
+@dataclass
+class FileStatus:
+    total: int
+    by_source: list
+
+
+def file_status(events: DataFrame) -> FileStatus:
+    """Bytes of all files, and by source the number of files that hold it and the newest one. Only the source is read, and
+    what Spark knows of files."""
+    m = F.col("_metadata")
+    files = events.select("_source_type", m["file_path"].alias("path"), m["file_size"].alias("size"), m["file_modification_time"].alias("at")).distinct()
+    total = files.select("path", "size").distinct().agg(F.sum("size")).first()[0] or 0
+    by = files.groupBy("_source_type").agg(F.count(F.lit(1)).alias("files"), F.max("at").alias("last")).orderBy("_source_type")
+    return FileStatus(int(total), [r.asDict() for r in by.collect()])

@@ -6,14 +6,16 @@ Rules are compiled to one expression of the fields map for each application, so
 
 from __future__ import annotations
 
+import json
 import re
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import EngineError
-from .parsers import computed
+from .parsers import computed, remembered
 
 ENVELOPE = ("facility", "severity", "timestamp", "hostname", "app_name", "proc_id", "msg_id", "message")
 
@@ -64,33 +66,86 @@ def _without(fields: Column, names: list[str]) -> Column:
     return F.map_filter(fields, lambda k, _: ~k.isin(*names))
 
 
-def apply(df: DataFrame, rules: list[ExtractRule]) -> DataFrame:
-    """df (with parsed, _source_type) with what rules find put into parsed.fields, and the flag force_severity. Rules
-    whose pattern can't be read are left out."""
-    columns, heads = [n for n in df.columns if n != "parsed"], ("format", *ENVELOPE)
-    df = df.select(*columns, F.col("parsed.fields").alias("_fields"), *[F.col(f"parsed.{n}").alias(f"_head_{n}") for n in heads], F.lit(False).alias("force_severity"))
+def produced(rule: ExtractRule) -> set[str]:
+    return set(rule.set) | {n for p in rule.patterns for n in NAMES.findall(p)}
+
+
+NAMES = re.compile(r"\(\?P?<([A-Za-z_]\w*)>")
+
+
+def disjoint(a: ExtractRule, b: ExtractRule) -> bool:
+    """Whether no record meets both: they ask for different values of the same name of the envelope."""
+    return any(n in ENVELOPE and n in b.when and b.when[n] != v for n, v in a.when.items())
+
+
+def levels(rules: list[ExtractRule]) -> list[list[ExtractRule]]:
+    """Rules by steps: a rule stands in a later step than those whose findings it reads; in a step, in their order."""
+    at: list[int] = []
+    for i, rule in enumerate(rules):
+        reads = {*rule.when, rule.source, *(n for p in rule.patterns for n in NAMES.findall(p))}
+        own = 0
+        for k, before in enumerate(rules[:i]):
+            if not disjoint(before, rule):
+                if produced(before) & reads:
+                    own = max(own, at[k] + 1)
+                elif produced(before) & produced(rule):
+                    own = max(own, at[k])
+        at.append(own)
+    return [[r for r, k in zip(rules, at) if k == step] for step in range(max(at, default=-1) + 1)]
+
+
+def _step(rules: list[ExtractRule]) -> Column:
+    """_fields after rules of one step, none of which reads what another one finds."""
+    new: dict[str, list[Column]] = {}
+    written: dict[str, list[Column]] = {}
     for rule in rules:
         hit = F.lit(True)
         for name, value in rule.when.items():
             hit &= F.coalesce(resolve(name) == value, F.lit(False))
-        found: dict[str, list[Column]] = {}
         for pattern in rule.patterns:
             try:
                 java, names = translate(pattern)
             except EngineError:
                 continue
+            text = resolve(rule.source)
             for name, i in names.items():
-                text = resolve(rule.source)
-                found.setdefault(name, []).append(F.when(text.rlike(java), F.nullif(F.regexp_extract(text, java, i), F.lit(""))))
-        new = {n: F.coalesce(F.nullif(F.get(F.array(F.col("_fields")[n]), F.lit(0)), F.lit("")), *cs) for n, cs in found.items()}
-        new |= {n: F.lit(v) for n, v in rule.set.items()}
-        if not new:
-            continue
-        added = F.map_filter(F.create_map(*[x for n, v in new.items() for x in (F.lit(n), v)]), lambda _, v: v.isNotNull())
-        changed = F.when(hit, F.map_concat(_without(F.col("_fields"), list(new)), added)).otherwise(F.col("_fields"))
-        if rule.force_severity:
-            df = computed(df, "force_severity", F.col("force_severity") | hit)
-        df = computed(df, "_fields", changed)
+                new.setdefault(name, []).append(F.when(hit & text.rlike(java), F.nullif(F.regexp_extract(text, java, i), F.lit(""))))
+        for name, value in rule.set.items():
+            written.setdefault(name, []).insert(0, F.when(hit, F.lit(value)))
+    names = [*dict.fromkeys([*new, *written])]
+    if not names:
+        return F.col("_fields")
+    before = lambda n: F.get(F.array(F.col("_fields")[n]), F.lit(0))
+    value = lambda n: F.coalesce(*written.get(n, []), F.nullif(before(n), F.lit("")), *new.get(n, []), before(n))
+    added = F.map_filter(F.create_map(*[x for n in names for x in (F.lit(n), value(n))]), lambda _, v: v.isNotNull())
+    return F.map_concat(_without(F.col("_fields"), names), added)
+
+
+@remembered
+def _steps(key: str) -> list[tuple[str, Column]]:
+    """The columns that rules (as text, to be a key) compute one after the other."""
+    rules = [ExtractRule(**r) for r in json.loads(key)]
+    every = lambda r: reduce(lambda x, y: x & y, [F.coalesce(resolve(n) == v, F.lit(False)) for n, v in r.when.items()], F.lit(True))
+    out = []
+    for step in levels(rules):
+        if forced := [every(r) for r in step if r.force_severity]:
+            out.append(("force_severity", F.col("force_severity") | reduce(lambda x, y: x | y, forced)))
+        changed = F.when(F.lit(False), F.col("_fields"))
+        for app in dict.fromkeys(r.when["app_name"] for r in step if "app_name" in r.when):
+            own = [replace(r, when={k: v for k, v in r.when.items() if k != "app_name"}) for r in step if r.when.get("app_name", app) == app]
+            changed = changed.when(resolve("app_name") == app, _step(own))
+        out.append(("_fields", changed.otherwise(_step([r for r in step if "app_name" not in r.when]))))
+    return out
+
+
+def apply(df: DataFrame, rules: list[ExtractRule]) -> DataFrame:
+    """df (with parsed, _source_type) with what rules find put into parsed.fields, and the flag force_severity. Rules
+    whose pattern can't be read are left out. A step of rules is one expression, which a record's application picks its
+    own part of."""
+    columns, heads = [n for n in df.columns if n != "parsed"], ("format", *ENVELOPE)
+    df = df.select(*columns, F.col("parsed.fields").alias("_fields"), *[F.col(f"parsed.{n}").alias(f"_head_{n}") for n in heads], F.lit(False).alias("force_severity"))
+    for name, value in _steps(json.dumps([asdict(r) for r in rules])):
+        df = computed(df, name, value)
     return df.select(*columns, "force_severity", F.struct(*[F.col(f"_head_{n}").alias(n) for n in heads], F.col("_fields").alias("fields")).alias("parsed"))
 
 
@@ -127,7 +182,7 @@ def shipped() -> list[ExtractRule]:
     kinds("openvpn", "openvpn_restart", {"SIGUSR1": "vpn_restart", "process restarting": "vpn_restart"})
     kinds("openvpn", "openvpn_link", {"UDPv4": "vpn_link_up", "TCPv4": "vpn_link_up"})
     kinds("openvpn", "openvpn_timeout", {"Inactivity timeout": "vpn_timeout"})
-    app("php-fpm", r"(?P<pfsense_page>/\S+\.php): (?P<pfsense_change>Configuration Change)", r"(?P<pfsense_login>Successful login) for user '(?P<admin_user>[^']+)' from: (?P<src_ip>[\d.]+)")
+    app("php-fpm", r"(?P<pfsense_page>/\S+\.php): (?P<pfsense_change>Configuration Change): (?P<admin_user>[^@\s]+)@(?P<src_ip>\d+\.\d+\.\d+\.\d+)", r"(?P<pfsense_page>/\S+\.php): (?P<pfsense_login>Successful login) for user '(?P<admin_user>[^']+)' from: (?P<src_ip>[\d.]+)")
     kinds("php-fpm", "pfsense_change", {"Configuration Change": "pfsense_config_change"})
     kinds("php-fpm", "pfsense_login", {"Successful login": "pfsense_admin_login"}, "notice")
     app("haproxy", r"^(?:Connect from )?(?P<src_ip>[\d.]+):(?P<src_port>\d+)", r"\] (?P<frontend>\S+?)/\S+: (?P<haproxy_tls>SSL handshake failure)", r"\] (?P<frontend>[^\s/]+) (?P<backend>[^\s/]+)/", r'"(?P<http_method>[A-Z]+) (?P<http_uri>\S+)')

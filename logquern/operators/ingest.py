@@ -77,15 +77,18 @@ def in_time(since=None, until=None, drop_undated: bool = False) -> Column:
     return F.when(F.col("dated"), out).otherwise(not drop_undated)
 
 
-def normalize(lines: DataFrame, now: Column, overrides: list[parsers.Override] = (), rules: list[extract.ExtractRule] | None = None, source: str | None = None) -> DataFrame:
-    """Events of lines (value, source_addr). now: what stands in for a time that a line lacks, and gives its year."""
+def normalize(lines: DataFrame, now: Column, overrides: list[parsers.Override] | None = None, rules: list[extract.ExtractRule] | None = None, source: str | None = None, since=None, until=None, drop_undated: bool = False) -> DataFrame:
+    """Events of lines (value, source_addr). now: what stands in for a time that a line lacks, and gives its year.
+    overrides and rules: the standard ones, unless given. since, until, drop_undated: as in in_time."""
+    overrides = parsers.shipped_overrides() if overrides is None else overrides
     df = unwrap(lines.filter(filled(F.col("value")))).withColumn("_raw", F.col("value"))
     df = parsers.parse(df, "value", overrides)
     if "source_label" not in df.columns:
         df = df.withColumn("source_label", F.lit(None).cast("string"))
     df = fill_from_envelope(df).withColumn("_source_type", source_type(source)).withColumn("_format", F.col("parsed.format"))
     df = extract.apply(df, extract.shipped() if rules is None else rules)
-    return flatten(df, now)
+    out = flatten(df, now)
+    return out.filter(in_time(since, until, drop_undated)) if since is not None or until is not None or drop_undated else out
 
 
 def promote(events: DataFrame, names: list[str]) -> DataFrame:

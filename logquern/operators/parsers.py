@@ -1,8 +1,11 @@
-"""Parsers of single log lines, as native expressions; only nested JSON, XML and YAML use Python, and only on their rows.
+"""Parsers of single log lines, as native expressions; only nested JSON, XML and YAML use Python, in one call for each line
+that is null for lines of other formats.
 
 `parse` tries, after override rules: RFC 5424 and RFC 3164 behind a priority, JSON object, JSON array, CEF, LEEF, RFC 3164
 without priority, logfmt, CSV, XML, YAML, plain text. Each parser is a pair: does it accept a line, and the record. What
-follows a syslog header may be parsed once more (CEF, LEEF, JSON).
+follows a syslog header may be parsed once more (CEF, LEEF, JSON). `parse` computes a line's format once, then the groups
+of that format's one pattern, then the record, each as a column that the next step refers to: so a line meets its own
+format only, and the plan stays small.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StringType
@@ -31,8 +35,8 @@ def no_fields() -> Column:
     return F.create_map().cast("map<string,string>")
 
 
-def record(format: str, fields: Column | None = None, **head: Column | None) -> Column:
-    cells = [F.lit(format).alias("format"), *[(head.get(n) if head.get(n) is not None else F.lit(None)).cast("string").alias(n) for n in HEAD], (fields if fields is not None else no_fields()).alias("fields")]
+def record(format: str | Column, fields: Column | None = None, **head: Column | None) -> Column:
+    cells = [(F.lit(format) if isinstance(format, str) else format).alias("format"), *[(head.get(n) if head.get(n) is not None else F.lit(None)).cast("string").alias(n) for n in HEAD], (fields if fields is not None else no_fields()).alias("fields")]
     return F.struct(*cells).cast(SCHEMA)
 
 
@@ -53,24 +57,50 @@ def unescape(column: Column, chars: str) -> Column:
     return F.regexp_replace(column, rf"\\([{re.escape(chars)}])", "$1")
 
 
-def rfc5424(raw: Column) -> Parser:
-    pattern = r"(?s)^<(\d{1,3})>1 (\S+) (\S+) (\S+) (\S+) (\S+) (-|(?:\[(?:[^\]\\]|\\.)*\])+)(?: ?(.*))?$"
-    get = lambda i: F.nullif(group(raw, pattern, i), F.lit("-"))
-    priority = group(raw, pattern, 1).try_cast("int")
+def groups(column: Column, pattern: str, n: int) -> Column:
+    """The first n groups of a pattern, null where one is empty."""
+    return F.array(*[F.nullif(F.regexp_extract(column, pattern, i), F.lit("")) for i in range(1, n + 1)])
+
+
+def at(found: Column, i: int) -> Column:
+    return F.get(found, F.lit(i - 1))
+
+
+RFC5424 = r"(?s)^<(\d{1,3})>1 (\S+) (\S+) (\S+) (\S+) (\S+) (-|(?:\[(?:[^\]\\]|\\.)*\])+)(?: ?(.*))?$"
+
+
+def is_rfc5424(raw: Column) -> Column:
+    return raw.rlike(RFC5424) & F.coalesce(F.regexp_extract(raw, RFC5424, 1).try_cast("int") < 256, F.lit(False))
+
+
+def rfc5424_record(found: Column) -> Column:
+    get = lambda i: F.nullif(at(found, i), F.lit("-"))
+    priority = at(found, 1).try_cast("int")
     item = r'([^\s="\]]+)="((?:[^"\\]|\\.)*)"'
     sd = F.coalesce(get(7), F.lit(""))
     fields = pairs(F.regexp_extract_all(sd, F.lit(item), 1), F.transform(F.regexp_extract_all(sd, F.lit(item), 2), lambda v: unescape(v, '"\\]')))
-    message = F.regexp_replace(F.coalesce(group(raw, pattern, 8), F.lit("")), "^\ufeff", "")
-    ok = raw.rlike(pattern) & F.coalesce(priority < 256, F.lit(False))
-    return ok, record("rfc5424", fields, facility=facility_of_priority(priority), severity=severity_of_priority(priority), timestamp=get(2), hostname=get(3), app_name=get(4), proc_id=get(5), msg_id=get(6), message=message)
+    message = F.regexp_replace(F.coalesce(at(found, 8), F.lit("")), "^\ufeff", "")
+    return record("rfc5424", fields, facility=facility_of_priority(priority), severity=severity_of_priority(priority), timestamp=get(2), hostname=get(3), app_name=get(4), proc_id=get(5), msg_id=get(6), message=message)
 
 
-def rfc3164(raw: Column, priority: bool | None = None) -> Parser:
+def rfc5424(raw: Column) -> Parser:
+    return is_rfc5424(raw), rfc5424_record(groups(raw, RFC5424, 8))
+
+
+def rfc3164_pattern(priority: bool | None = None) -> str:
     """priority: whether one must, must not, or (None) may stand in front."""
     lead = {True: r"<(\d{1,3})>", False: "()", None: r"(?:<(\d{1,3})>)?"}[priority]
-    pattern = rf"(?s)^{lead}({BSD}|{ISO}) (\S+) (?:([^\s\[\]:]+)(?:\[([^\]\s]*)\])?: ?)?(.*)$"
-    number = group(raw, pattern, 1).try_cast("int")
-    return raw.rlike(pattern), record("rfc3164", facility=facility_of_priority(number), severity=severity_of_priority(number), timestamp=group(raw, pattern, 2), hostname=group(raw, pattern, 3), app_name=group(raw, pattern, 4), proc_id=group(raw, pattern, 5), message=F.coalesce(group(raw, pattern, 6), F.lit("")))
+    return rf"(?s)^{lead}({BSD}|{ISO}) (\S+) (?:([^\s\[\]:]+)(?:\[([^\]\s]*)\])?: ?)?(.*)$"
+
+
+def rfc3164_record(found: Column) -> Column:
+    number = at(found, 1).try_cast("int")
+    return record("rfc3164", facility=facility_of_priority(number), severity=severity_of_priority(number), timestamp=at(found, 2), hostname=at(found, 3), app_name=at(found, 4), proc_id=at(found, 5), message=F.coalesce(at(found, 6), F.lit("")))
+
+
+def rfc3164(raw: Column, priority: bool | None = None) -> Parser:
+    pattern = rfc3164_pattern(priority)
+    return raw.rlike(pattern), rfc3164_record(groups(raw, pattern, 6))
 
 
 def flatten(value: object, path: str = "", out: dict | None = None) -> dict[str, str]:
@@ -100,7 +130,7 @@ def _flat_json(text: str | None) -> dict | None:
 def _flat_xml(text: str | None) -> dict | None:
     from xml.etree import ElementTree
 
-    if not text or len(text) > 1 << 20 or "<!" in text:  # no entities
+    if not text or "<!DOCTYPE" in text or "<!ENTITY" in text:  # entities of its own are refused
         return None
     try:
         root = ElementTree.fromstring(text)
@@ -131,12 +161,31 @@ def _flat_yaml(text: str | None) -> dict | None:
     return out or None
 
 
+YAML_LINE = r"(?m)^(---|\s*[A-Za-z_][\w.-]*: .+|- .+)$"
+YAML_KEY = r"^\s*[a-z_][\w.-]*: .+$"
+
+
+def _nested(text: str | None) -> dict | None:
+    """The flat fields of a line whose format has nested values; its name stands under the empty key."""
+    if not text:
+        return None
+    for name, lead, parser in (("json", r"\{", _flat_json), ("json_array", r"\[", _flat_json), ("xml", "<[A-Za-z?]", _flat_xml), ("yaml", "", _flat_yaml)):
+        if re.match(lead, text) and (name != "yaml" or _looks_yaml(text)) and (found := parser(text)) is not None:
+            return found | {"": name}
+    return None
+
+
+def _looks_yaml(text: str) -> bool:
+    return bool(re.search(YAML_LINE, text) and ("\n" in text or re.search(YAML_KEY, text)))
+
+
+nested = F.udf(_nested, TEXTS, useArrow=True)
 flat_json = F.udf(_flat_json, TEXTS, useArrow=True)
 flat_xml = F.udf(_flat_xml, TEXTS, useArrow=True)
 flat_yaml = F.udf(_flat_yaml, TEXTS, useArrow=True)
 
 
-def _described(format: str, fields: Column, message: Column | None = None) -> Column:
+def _described(format: str | Column, fields: Column, message: Column | None = None) -> Column:
     """A record of a format whose keys say what they are."""
     return record(
         format, fields, message=message if message is not None else first_of(fields, "message", "msg", "text"), timestamp=first_of(fields, "timestamp", "time", "@timestamp", "ts"), hostname=first_of(fields, "hostname", "host"),
@@ -152,27 +201,39 @@ def json_object(raw: Column, nested: bool = True) -> Parser:
     return raw.startswith("{") & fields.isNotNull(), _described("json", fields)
 
 
+def json_array_record(text: Column, fields: Column) -> Column:
+    return record("json_array", fields, message=F.concat(F.json_array_length(text).cast("string"), F.lit(" JSON array elements")))
+
+
 def json_array(raw: Column) -> Parser:
     guarded = F.when(raw.startswith("["), raw)
     fields = flat_json(guarded)
-    return raw.startswith("[") & fields.isNotNull(), record("json_array", fields, message=F.concat(F.json_array_length(guarded).cast("string"), F.lit(" JSON array elements")))
+    return raw.startswith("[") & fields.isNotNull(), json_array_record(guarded, fields)
 
 
-def cef(raw: Column) -> Parser:
-    bar = r"((?:[^|\\]|\\.)*)"
-    pattern = rf"(?s)^CEF:(\d+)\|{bar}\|{bar}\|{bar}\|{bar}\|{bar}\|{bar}\|(.*)$"
-    get = lambda i: unescape(F.coalesce(group(raw, pattern, i), F.lit("")), "|\\")
-    rest = F.coalesce(group(raw, pattern, 8), F.lit(""))
+_BAR = r"((?:[^|\\]|\\.)*)"
+CEF = rf"(?s)^CEF:(\d+)\|{_BAR}\|{_BAR}\|{_BAR}\|{_BAR}\|{_BAR}\|{_BAR}\|(.*)$"
+
+
+def cef_record(found: Column) -> Column:
+    get = lambda i: unescape(F.coalesce(at(found, i), F.lit("")), "|\\")
+    rest = F.coalesce(at(found, 8), F.lit(""))
     item = r"([\w.\[\]]+)=((?:[^=\\]|\\.)*?)(?=\s+[\w.\[\]]+=|\s*$)"
     values = F.transform(F.regexp_extract_all(rest, F.lit(item), 2), lambda v: unescape(v, "=\\"))
     head = F.create_map(*[x for k, i in (("version", 1), ("vendor", 2), ("product", 3), ("device_version", 4), ("signature_id", 5), ("name", 6), ("severity", 7)) for x in (F.lit(f"cef.{k}"), get(i))])
     fields = F.map_concat(pairs(F.regexp_extract_all(rest, F.lit(item), 1), values), head)
-    return raw.rlike(pattern), record("cef", fields, severity=cef_severity(get(7)), app_name=get(3), msg_id=get(5), message=F.coalesce(first_of(fields, "msg"), get(6)), timestamp=first_of(fields, "rt", "end"), hostname=first_of(fields, "dhost"))
+    return record("cef", fields, severity=cef_severity(get(7)), app_name=get(3), msg_id=get(5), message=F.coalesce(first_of(fields, "msg"), get(6)), timestamp=first_of(fields, "rt", "end"), hostname=first_of(fields, "dhost"))
 
 
-def leef(raw: Column) -> Parser:
-    pattern = r"(?s)^LEEF:([12])(?:\.0)?\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|(.*)$"
-    get = lambda i: F.coalesce(group(raw, pattern, i), F.lit(""))
+def cef(raw: Column) -> Parser:
+    return raw.rlike(CEF), cef_record(groups(raw, CEF, 8))
+
+
+LEEF = r"(?s)^LEEF:([12])(?:\.0)?\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|(.*)$"
+
+
+def leef_record(found: Column) -> Column:
+    get = lambda i: F.coalesce(at(found, i), F.lit(""))
     rest = get(6)
     named = r"(?s)^(x[0-9A-Fa-f]{2}|0x[0-9A-Fa-f]{2}|[^|=])\|(.*)$"
     second = (get(1) == "2") & rest.rlike(named)
@@ -184,18 +245,29 @@ def leef(raw: Column) -> Parser:
     by_mark = pairs(F.transform(items, lambda x: F.trim(F.substring_index(x, "=", 1))), F.transform(items, lambda x: F.regexp_replace(x, "^[^=]*=", "")))
     by_space = pairs(F.regexp_extract_all(attrs, F.lit(spaced), 1), F.regexp_extract_all(attrs, F.lit(spaced), 2))
     fields = F.when(attrs.contains(mark), by_mark).otherwise(by_space)
-    return raw.rlike(pattern), record("leef", fields, severity=F.when(first_of(fields, "sev").isNotNull(), leef_severity(first_of(fields, "sev"))), app_name=get(3), msg_id=get(5), message=F.coalesce(first_of(fields, "msg", "message"), get(5)), timestamp=first_of(fields, "devTime"), hostname=first_of(fields, "srcName"))
+    return record("leef", fields, severity=F.when(first_of(fields, "sev").isNotNull(), leef_severity(first_of(fields, "sev"))), app_name=get(3), msg_id=get(5), message=F.coalesce(first_of(fields, "msg", "message"), get(5)), timestamp=first_of(fields, "devTime"), hostname=first_of(fields, "srcName"))
+
+
+def leef(raw: Column) -> Parser:
+    return raw.rlike(LEEF), leef_record(groups(raw, LEEF, 6))
 
 
 LOGFMT = r'([A-Za-z_][\w.-]*)=("(?:[^"\\]|\\.)*"|\S*)'
 
 
-def logfmt(raw: Column) -> Parser:
+def logfmt_fields(raw: Column) -> Column:
     values = F.transform(F.regexp_extract_all(raw, F.lit(LOGFMT), 2), lambda v: F.when(v.rlike('(?s)^".*"$'), unescape(F.regexp_replace(v, '^"|"$', ""), '"\\')).otherwise(v))
     rest = F.trim(F.regexp_replace(raw, LOGFMT, ""))
     bare = F.regexp_extract_all(rest, F.lit(r"(?<!\S)([A-Za-z_][\w.-]*)(?!\S)"), 1)
-    fields = F.map_concat(pairs(bare, F.transform(bare, lambda _: F.lit("true"))), pairs(F.regexp_extract_all(raw, F.lit(LOGFMT), 1), values))
-    return F.regexp_count(raw, F.lit(r"(?:^|\s)[A-Za-z_][\w.-]*=")) >= 2, _described("logfmt", fields)
+    return F.map_concat(pairs(bare, F.transform(bare, lambda _: F.lit("true"))), pairs(F.regexp_extract_all(raw, F.lit(LOGFMT), 1), values))
+
+
+def is_logfmt(raw: Column) -> Column:
+    return F.regexp_count(raw, F.lit(r"(?:^|\s)[A-Za-z_][\w.-]*=")) >= 2
+
+
+def logfmt(raw: Column) -> Parser:
+    return is_logfmt(raw), _described("logfmt", logfmt_fields(raw))
 
 
 def csv(raw: Column) -> Parser:
@@ -209,16 +281,23 @@ def csv(raw: Column) -> Parser:
     return most >= 2, record("csv", pairs(keys, clean), message=raw)
 
 
+def xml_record(raw: Column, fields: Column) -> Column:
+    named = F.map_values(F.map_filter(fields, lambda k, _: k.rlike(r"\.(message|msg|text)$")))
+    return record("xml", fields, message=F.coalesce(F.get(named, F.lit(0)), F.regexp_extract(raw, r"<([A-Za-z][\w.-]*)", 1)))
+
+
 def xml(raw: Column) -> Parser:
     fields = flat_xml(F.when(raw.rlike(r"^<[A-Za-z?]"), raw))
-    named = F.map_values(F.map_filter(fields, lambda k, _: k.rlike(r"\.(message|msg|text)$")))
-    return raw.rlike(r"^<[A-Za-z?]") & fields.isNotNull(), record("xml", fields, message=F.coalesce(F.get(named, F.lit(0)), F.regexp_extract(raw, r"<([A-Za-z][\w.-]*)", 1)))
+    return raw.rlike(r"^<[A-Za-z?]") & fields.isNotNull(), xml_record(raw, fields)
+
+
+def looks_yaml(raw: Column) -> Column:
+    return raw.rlike(YAML_LINE) & (raw.contains("\n") | raw.rlike(YAML_KEY))
 
 
 def yaml(raw: Column) -> Parser:
-    guard = raw.rlike(r"(?m)^(---|\s*[A-Za-z_][\w.-]*: .+|- .+)$") & (raw.contains("\n") | raw.rlike(r"^\s*[a-z_][\w.-]*: .+$"))
-    fields = flat_yaml(F.when(guard, raw))
-    return guard & fields.isNotNull(), _described("yaml", fields)
+    fields = flat_yaml(F.when(looks_yaml(raw), raw))
+    return looks_yaml(raw) & fields.isNotNull(), _described("yaml", fields)
 
 
 def plain(raw: Column) -> Parser:
@@ -253,6 +332,7 @@ class Override:
     format: str = ""
     source: str = ""
     rename: dict[str, str] = field(default_factory=dict)
+    reparse: bool = False
     reparse_as: str = ""
 
     def when(self, raw: Column, addr: Column) -> Column:
@@ -268,13 +348,97 @@ def renamed(fields: Column, names: dict[str, str]) -> Column:
     return F.transform_keys(fields, lambda k, _: F.coalesce(F.get(F.array(table[k]), F.lit(0)), k))
 
 
-def detect(raw: Column) -> Column:
-    """The record of the first parser that accepts a line."""
-    chain = [rfc5424(raw), rfc3164(raw, True), json_object(raw), json_array(raw), cef(raw), leef(raw), rfc3164(raw, False), logfmt(raw), csv(raw), xml(raw), yaml(raw)]
-    out = F.when(F.lit(False), plain(raw)[1])
-    for ok, found in chain:
-        out = out.when(F.coalesce(ok, F.lit(False)), found)
-    return out.otherwise(plain(raw)[1])
+# What lines hold whose source the standard overrides name, in their order.
+LABELS = (
+    ("[UFW ", "iptables"),
+    ("pam_unix(proxmox-ve-auth:auth)", "proxmox-ve-auth"),
+    ("haproxy: starting old pid:", "haproxy"),
+    ("haproxy: started new pid:", "haproxy"),
+    ("[Suricata] Suricata LOGS ROTATION", "suricata-logrotate"),
+    ("[Suricata] Logs Mgmt job rotated", "suricata-logrotate"),
+    ("Unhandled message: interface=org.freedesktop.DBus", "dbus-daemon"),
+    ("FW1.homelab.lan nginx", "pfsense-webui"),
+    ("kerneloops.service: Referenced but unset environment variable", "kerneloops"),
+)
+
+
+def shipped_overrides() -> list[Override]:
+    """The standard overrides: sources that lines name wrongly, and the firewall's record behind its syslog header."""
+    found = [Override(contains=text, source=label) for text, label in LABELS]
+    return [found[0], Override(contains=" filterlog ", reparse=True, reparse_as="filterlog"), *found[1:]]
+
+
+def _kind(raw: Column) -> Column:
+    """The format of a line by native tests alone; null where only nested formats or plain text are left."""
+    with_priority, bare = raw.rlike(rfc3164_pattern(True)), raw.rlike(rfc3164_pattern(False))
+    syslog = F.when(is_rfc5424(raw), "rfc5424").when(with_priority, "rfc3164")
+    out = F.when(raw.startswith("<"), syslog).when(raw.rlike(CEF), "cef").when(raw.rlike(LEEF), "leef").when(bare, "rfc3164")
+    return F.coalesce(out, F.when(is_logfmt(raw), "logfmt").when(csv(raw)[0], "csv"))
+
+
+def _found(raw: Column, kind: Column) -> Column:
+    """The groups of the format's pattern."""
+    out = F.when(kind == "rfc5424", groups(raw, RFC5424, 8)).when(kind == "rfc3164", groups(raw, rfc3164_pattern(), 6))
+    return out.when(kind == "cef", groups(raw, CEF, 8)).when(kind == "leef", groups(raw, LEEF, 6))
+
+
+def _syslog(kind: Column) -> Column:
+    return F.coalesce(kind.isin("rfc5424", "rfc3164"), F.lit(False))
+
+
+def _message(kind: Column, found: Column) -> Column:
+    """The message behind a syslog header."""
+    return F.when(kind == "rfc5424", at(found, 8)).when(kind == "rfc3164", at(found, 6))
+
+
+def _without_mark(fields: Column) -> Column:
+    return F.map_filter(fields, lambda k, _: k != "")
+
+
+def remembered(make: Callable) -> Callable:
+    """make, whose columns are built once for each gateway and arguments: building them costs thousands of calls."""
+    known: dict[tuple, object] = {}
+
+    def of(*key):
+        place = (id(SparkContext._gateway), *key)
+        if place not in known:
+            known[place] = make(*key)
+        return known[place]
+
+    return of
+
+
+@remembered
+def _steps(line: str) -> list[tuple[str, Column]]:
+    """The columns that detect computes one after the other, from the column of that name."""
+    raw, kind, found, inner, inside, outer = (F.col(n) for n in (line, "_kind", "_found", "_inner", "_inside", "parsed"))
+    behind = _message(kind, found)
+    asked = F.when(_syslog(kind), F.when(F.ltrim(behind).startswith("{"), F.ltrim(behind)))
+    asked = asked.when(raw.rlike(r"^[{\[]") | (kind.isNull() & (raw.rlike("^<[A-Za-z?]") | looks_yaml(raw))), raw)
+    mark = F.get(F.array(F.col("_nested")[""]), F.lit(0))
+    # The format at last: nested formats that come before what native tests found, then that, then the other nested ones.
+    first = F.when(~_syslog(kind) & mark.isin("json", "json_array"), mark)
+    format = F.coalesce(first, kind, F.when(mark.isin("xml", "yaml"), mark), F.lit("plain"))
+    chosen, fields, is_ = F.col("_format_"), F.col("_map"), lambda name: F.col("_format_") == name
+    map_ = F.when(chosen.isin("json", "json_array", "xml", "yaml"), _without_mark(F.col("_nested"))).when(is_("logfmt"), logfmt_fields(raw))
+    record_ = F.when(is_("rfc5424"), rfc5424_record(found)).when(is_("rfc3164"), rfc3164_record(found)).when(is_("cef"), cef_record(found)).when(is_("leef"), leef_record(found))
+    record_ = record_.when(is_("csv"), csv(raw)[1]).when(is_("xml"), xml_record(raw, fields)).when(is_("json_array"), json_array_record(raw, fields))
+    record_ = record_.when(chosen.isin("json", "yaml", "logfmt"), _described(chosen, fields)).otherwise(plain(raw)[1])
+    # The second pass, for what a syslog line carries.
+    carried = F.when(_syslog(kind), F.coalesce(F.nullif(F.regexp_extract(raw, r"(?s)(CEF:\d+\|.*)", 1), F.lit("")), F.nullif(F.regexp_extract(raw, r"(?s)(LEEF:[12].*)", 1), F.lit(""))))
+    held = F.when(inner.rlike(CEF), groups(inner, CEF, 8)).when(inner.rlike(LEEF), groups(inner, LEEF, 6))
+    second = F.when(inside.isNotNull() & inner.startswith("CEF"), cef_record(inside)).when(inside.isNotNull(), leef_record(inside))
+    second = second.when(_syslog(kind) & (mark == "json"), _described(F.lit("json"), _without_mark(F.col("_nested"))))
+    merged = F.when(F.col("_second").isNotNull(), merge(outer, F.col("_second"))).otherwise(outer)
+    return [("_kind", _kind(raw)), ("_found", _found(raw, kind)), ("_nested", nested(asked)), ("_format_", format), ("_map", map_), ("parsed", record_), ("_inner", carried), ("_inside", held), ("_second", second), ("parsed", merged)]
+
+
+def detect(lines: DataFrame, raw: str) -> DataFrame:
+    """lines with the record of the first parser that accepts a line, and what its syslog header carries, as `parsed`."""
+    names = lines.columns
+    for name, value in _steps(raw):
+        lines = computed(lines, name, value)
+    return lines.select(*names, "parsed")
 
 
 def merge(outer: Column, inner: Column) -> Column:
@@ -286,12 +450,11 @@ def merge(outer: Column, inner: Column) -> Column:
 
 
 def second_pass(raw: Column, found: Column) -> Column:
-    """What a syslog line carries: CEF or LEEF anywhere in the line, or a message that is a JSON object."""
-    syslog = found["format"].isin("rfc5424", "rfc3164")
-    inner_cef, inner_leef, message = F.regexp_extract(raw, r"(?s)(CEF:\d+\|.*)", 1), F.regexp_extract(raw, r"(?s)(LEEF:[12].*)", 1), found["message"]
+    """What any line carries: CEF or LEEF anywhere in the line, or a message that is a JSON object."""
+    inner_cef, inner_leef, message = F.regexp_extract(raw, r"(?s)(CEF:\d+\|.*)", 1), F.regexp_extract(raw, r"(?s)(LEEF:[12].*)", 1), F.ltrim(found["message"])
     out = F.when(F.lit(False), found)
     for guard, (ok, inner) in ((inner_cef != "", cef(inner_cef)), (inner_leef != "", leef(inner_leef)), (message.startswith("{"), json_object(message))):
-        out = out.when(syslog & guard & F.coalesce(ok, F.lit(False)), merge(found, inner))
+        out = out.when(guard & F.coalesce(ok, F.lit(False)), merge(found, inner))
     return out.otherwise(found)
 
 
@@ -304,8 +467,7 @@ def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
 def parse(lines: DataFrame, raw: str = "value", overrides: list[Override] = ()) -> DataFrame:
     """lines with columns of SCHEMA as `parsed`, and `source_label` where an override names one. Expects source_addr."""
     line, addr = F.col(raw), F.col("source_addr") if "source_addr" in lines.columns else F.lit("")
-    lines = computed(lines, "parsed", detect(line))
-    lines = computed(lines, "parsed", second_pass(line, F.col("parsed")))
+    lines = detect(lines, raw)
     forced, label = F.when(F.lit(False), F.col("parsed")), F.when(F.lit(False), "")
     for o in overrides:
         hit, found = o.when(line, addr), F.col("parsed")
@@ -313,11 +475,19 @@ def parse(lines: DataFrame, raw: str = "value", overrides: list[Override] = ())
             ok, own = PARSERS[o.format](line)
             found = F.when(F.coalesce(ok, F.lit(False)), own).otherwise(found)
         if o.reparse_as:
-            ok, inner = PARSERS[o.reparse_as](found["message"])
+            marker = {"cef": r"(?s)(CEF:.*)", "leef": r"(?s)(LEEF:.*)"}.get(o.reparse_as)
+            payload = F.coalesce(F.nullif(F.regexp_extract(line, marker, 1), F.lit("")), found["message"]) if marker else found["message"]
+            ok, inner = PARSERS[o.reparse_as](payload)
             found = F.when(F.coalesce(ok, F.lit(False)), merge(found, inner)).otherwise(found)
+        elif o.reparse:
+            found = second_pass(line, found)
         if o.rename:
             found = found.withField("fields", renamed(found["fields"], o.rename))
-        forced, label = forced.when(hit, found), label.when(hit, F.lit(o.source or None))
+        if o.format or o.reparse_as or o.reparse or o.rename:
+            forced = forced.when(hit, found)
+        else:
+            forced = forced.when(hit, F.col("parsed"))
+        label = label.when(hit, F.lit(o.source or None))
     if overrides:
         lines = computed(lines.withColumn("source_label", label), "parsed", forced.otherwise(F.col("parsed")))
     return lines

@@ -27,13 +27,13 @@ def event_field(df: DataFrame) -> Callable[[str], Column]:
     return resolve
 
 
-def alert_field(df: DataFrame) -> Callable[[str], Column]:
-    """Top level, then the event, then the first sample event."""
+def alert_field(df: DataFrame, event_first: bool = False) -> Callable[[str], Column]:
+    """Top level, then the event, then the first sample event; or, as correlations have it, the event before the top level."""
 
     def resolve(name: str) -> Column:
         found = [df[name].cast("string")] if name in df.columns and dict(df.dtypes)[name].split("<")[0] not in ("array", "map", "struct") else []
         if "event" in df.columns:
-            found.append(df["event"][name])
+            found.insert(0 if event_first else len(found), df["event"][name])
         if "sample_events" in df.columns:
             found.append(F.get(df["sample_events"], F.lit(0))[name])
         return F.coalesce(*found) if found else F.lit(None).cast("string")

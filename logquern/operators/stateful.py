@@ -125,10 +125,12 @@ def chains(alerts: DataFrame, rules: list[ChainRule], time: str = "timestamp", t
 
 
 def shipped_chains() -> list[ChainRule]:
+    """The standard correlations."""
+    # Their names, titles, steps and windows.
     return [
-        ChainRule("cred-brute-force-success", "Failures, then a login", "src_ip", (("1001-ssh-brute-force", 3), ("1005-ssh-login-success", 1)), 300, True),
-        ChainRule("external-ssh-then-sudo", "SSH from outside and sudo", "src_ip", (("1004-suspicious-ssh", 1), ("1002-sudo-execution", 1)), 600, False),
-        ChainRule("sustained-brute-force", "Many failures", "src_ip", (("1001-ssh-brute-force", 10),), 600, False),
-        ChainRule("port-scan", "Many blocked packets", "src_ip", (("1009-firewall-port-scan", 15),), 120, False),
-        ChainRule("haproxy-connect-flood", "Many connections", "src_ip", (("1012-haproxy-connect-volume", 100),), 3600, False),
+        ChainRule("cred-brute-force-success", "SSH Credential Guessing Followed by Login Success", "src_ip", (("1001-ssh-brute-force", 3), ("1005-ssh-login-success", 1)), 300, True),
+        ChainRule("external-ssh-then-sudo", "Suspicious External SSH Probe Followed by Sudo Execution", "src_ip", (("1004-suspicious-ssh", 1), ("1002-sudo-execution", 1)), 600, False),
+        ChainRule("sustained-brute-force", "Sustained SSH Brute Force from Single IP", "src_ip", (("1001-ssh-brute-force", 10),), 600, False),
+        ChainRule("port-scan", "Port Scan / Network Reconnaissance", "src_ip", (("1009-firewall-port-scan", 15),), 120, False),
+        ChainRule("haproxy-connect-flood", "HAProxy Connect Volume Flood", "src_ip", (("1012-haproxy-connect-volume", 100),), 3600, False),
     ]

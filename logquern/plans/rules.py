@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import fnmatch
 import re
+import warnings
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -75,11 +76,32 @@ def load_rule(spec: dict, strict: bool = True) -> Rule | None:
     return Rule(str(spec["id"]), str(spec["title"]), str(spec.get("level", "")), condition, selections, keywords, source)
 
 
-def load_rules(folder: str | Path, strict: bool = True) -> list[Rule]:
+def rule_files(folder: str | Path) -> list[Path]:
+    return sorted(p for p in Path(folder).rglob("*") if p.suffix in (".yml", ".yaml"))
+
+
+def read_rule(path: str | Path, strict: bool = True) -> Rule | None:
     import yaml
 
-    specs = (yaml.safe_load(p.read_text()) for p in sorted(Path(folder).rglob("*.y*ml")))
-    return [r for s in specs if isinstance(s, dict) and (r := load_rule(s, strict))]
+    try:
+        spec = yaml.safe_load(Path(path).read_text())
+    except yaml.YAMLError as e:
+        raise EngineError(f"{path}: {e}") from None
+    return load_rule(spec, strict) if isinstance(spec, dict) else None
+
+
+def load_rules(folder: str | Path, strict: bool = True) -> list[Rule]:
+    """The rules of all *.yml and *.yaml files below a folder. A file that can't be read is left out with a warning."""
+    found = []
+    for path in rule_files(folder):
+        try:
+            rule = read_rule(path, strict)
+        except EngineError as e:
+            warnings.warn(f"rule left out: {e}", stacklevel=2)
+            continue
+        if rule is not None:
+            found.append(rule)
+    return found
 
 
 class Condition:
@@ -191,26 +213,65 @@ def shipped(strict: bool = True) -> list[Rule]:
 
 
 def _pack() -> list[dict]:
-    exact = lambda service, **tests: {"logsource": {"service": service}, "detection": {"selection": tests, "condition": "selection"}}
-    one = lambda key, prefix, values: {f"{prefix}{i}": {key: v} for i, v in enumerate(values)}
-    # What the rules look for.
-    cron = ["curl ", "wget ", "/dev/tcp/", "base64 -d", "nc -e", "/tmp/", "bash -i", "python -c", "chmod +s"]
-    shells = ["/bin/bash", "/bin/sh", "/bin/zsh", " su", "passwd", "visudo", "chmod 4", "/etc/sudoers"]
-    prompts = ["ignore previous instructions", "ignore all previous", "disregard previous", "you are now", "system prompt", "new instructions:", "<|im_start|>", "act as"]
+    def rule(number: int, name: str, title: str, level: str, service: str, detection: dict) -> dict:
+        source = {"service": service} if service else {}
+        return {"id": f"{number}-{name}", "title": title, "level": level, "logsource": source, "detection": detection}
+
+    def of_type(source: str, kind: str, **more: str) -> dict:
+        return {"selection": {"_source_type": source, "event_type": kind, **more}}
+
+    def only(source: str, kind: str) -> dict:
+        return of_type(source, kind) | {"condition": "selection"}
+
+    # What the rules of the standard pack look for, each in its rule's own order.
+    cron = {
+        "s_wget": {"command|contains": "wget "},
+        "s_curl": {"command|contains": "curl "},
+        "s_revshell": {"command|contains": "bash -i"},
+        "s_devtcp": {"command|contains": "/dev/tcp/"},
+        "s_nc": {"command|contains": "nc -"},
+        "s_pipe_sh": {"command|contains": "| sh"},
+        "s_pipe_bash": {"command|contains": "| bash"},
+        "s_python_c": {"command|contains": "python -c"},
+        "s_base64": {"command|contains": "base64 -d"},
+    }
+    sudo = {
+        "p_bash": {"command|contains": "/bash"},
+        "p_sh": {"command|endswith": "/sh"},
+        "p_dash": {"command|contains": "/dash"},
+        "p_zsh": {"command|contains": "/zsh"},
+        "p_su": {"command|contains": "/su"},
+        "p_passwd": {"command|contains": "/passwd"},
+        "p_visudo": {"command|contains": "visudo"},
+        "p_useradd": {"command|contains": "useradd"},
+    }
+    prompts = [
+        "ignore all previous instructions",
+        "ignore previous instructions",
+        "disregard all previous instructions",
+        "system override",
+        "administrator directive",
+        "disregard all open tickets",
+        "soc-notify",
+        "siemctl retention",
+    ]
+    inside = {"filter": {"src_ip|startswith": "10.0."}, "condition": "selection and not filter"}
+    fields = {"selection_sshd": {"_source_type": "sshd"}, "selection_cron": {"_source_type": "cron"}, "keywords": prompts, "condition": "(selection_sshd or selection_cron) and keywords"}
+    connect = {"selection": {"_source_type": "haproxy", "message|startswith": "Connect from "}, "condition": "selection"}
     return [
-        {"id": "1001-ssh-brute-force", "title": "SSH authentication failure", "level": "medium", **exact("sshd", event_type="ssh_auth_failure")},
-        {"id": "1002-sudo-execution", "title": "Command by sudo", "level": "low", **exact("sudo", event_type="sudo_command")},
-        {"id": "1003-iptables-deny", "title": "Packet denied by iptables", "level": "low", **exact("iptables", event_type="firewall_block")},
-        {"id": "1004-suspicious-ssh", "title": "SSH failure from outside", "level": "high", "logsource": {"service": "sshd"}, "detection": {"selection": {"event_type": "ssh_auth_failure"}, "inside": {"src_ip|startswith": "10.0."}, "condition": "selection and not inside"}},
-        {"id": "1005-ssh-login-success", "title": "SSH login", "level": "info", **exact("sshd", event_type="ssh_auth_success")},
-        {"id": "1006-cron-suspicious-command", "title": "Suspicious command by cron", "level": "high", "logsource": {"service": "cron"}, "detection": {"job": {"event_type": "cron_exec"}, **one("command|contains", "s_", cron), "condition": "job and 1 of s_*"}},
-        {"id": "1007-haproxy-tls-probe", "title": "TLS handshake failure", "level": "medium", **exact("haproxy", event_type="tls_handshake_failure")},
-        {"id": "1008-sudo-privilege-escalation", "title": "Root shell by sudo", "level": "high", "logsource": {"service": "sudo"}, "detection": {"root": {"event_type": "sudo_command", "target_user": "root"}, **one("command|contains", "p_", shells), "condition": "root and 1 of p_*"}},
-        {"id": "1009-firewall-port-scan", "title": "Packet blocked by the firewall", "level": "low", **exact("filterlog", event_type="firewall_block")},
-        {"id": "1010-local-auth-failure", "title": "Local authentication failure", "level": "medium", **exact("unix_chkpwd", event_type="local_auth_failure")},
-        {"id": "1011-prompt-injection-log-fields", "title": "Prompt injection in a log field", "level": "high", "detection": {"ssh": {"_source_type": "sshd"}, "cron": {"_source_type": "cron"}, "keywords": prompts, "condition": "(ssh or cron) and keywords"}},
-        {"id": "1012-haproxy-connect-volume", "title": "Connection to haproxy", "level": "low", "logsource": {"service": "haproxy"}, "detection": {"connect": {"message|startswith": "Connect from "}, "condition": "connect"}},
-    ]
+        rule(1001, "ssh-brute-force", "SSH Brute Force Detection", "medium", "sshd", only("sshd", "ssh_auth_failure")),
+        rule(1002, "sudo-execution", "Sudo Execution Monitoring", "low", "sudo", only("sudo", "sudo_command")),
+        rule(1003, "iptables-deny", "IPTables Firewall Deny", "low", "iptables", only("iptables", "firewall_block")),
+        rule(1004, "suspicious-ssh", "Suspicious Internal SSH from External IP", "high", "sshd", of_type("sshd", "ssh_auth_failure") | inside),
+        rule(1005, "ssh-login-success", "SSH Login Success", "info", "sshd", only("sshd", "ssh_auth_success")),
+        rule(1006, "cron-suspicious-command", "Suspicious Cron Command", "high", "cron", of_type("cron", "cron_exec") | cron | {"condition": "selection and 1 of s_*"}),
+        rule(1007, "haproxy-tls-probe", "Unauthorized TLS Probe of Reverse Proxy", "medium", "haproxy", only("haproxy", "tls_handshake_failure")),
+        rule(1008, "sudo-privilege-escalation", "Sudo Root Shell or Sensitive Binary", "high", "sudo", of_type("sudo", "sudo_command", target_user="root") | sudo | {"condition": "selection and 1 of p_*"}),
+        rule(1009, "firewall-port-scan", "Firewall Block (filterlog)", "low", "filterlog", only("filterlog", "firewall_block")),
+        rule(1010, "local-auth-failure", "Local Authentication Failure", "medium", "unix_chkpwd", only("unix_chkpwd", "local_auth_failure")),
+        rule(1011, "prompt-injection-log-fields", "Prompt-Injection-Shaped Content in Log Fields", "high", "", fields),
+        rule(1012, "haproxy-connect-volume", "HAProxy Connect Volume (correlation signal)", "low", "haproxy", connect),
+    ]
 
 
 PACK = _pack()

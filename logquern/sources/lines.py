@@ -9,8 +9,8 @@ from ..functions.text import filled
 
 
 def strip_octet_count(df: DataFrame, column: str = "value") -> DataFrame:
-    """Lines of a TCP stream may begin with their length."""
-    return df.withColumn(column, F.regexp_replace(F.col(column), r"^\d+ (?=<)", ""))
+    """Lines of a TCP stream may begin with their length and a space."""
+    return df.withColumn(column, F.regexp_replace(F.col(column), r"^\d+ ", ""))
 
 
 def read(spark: SparkSession, path: str, source_addr: str = "stdin") -> DataFrame:

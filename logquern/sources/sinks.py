@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,10 +15,11 @@ SIDECAR = ("timestamp", "src_ip", "dst_ip", "event_type", "severity", "_source_t
 
 
 def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
-    """By day and hour; rows of a file in order of source, so that row groups can be skipped by source and address."""
+    """By day and hour; rows of a file in order of source, so that row groups can be skipped by source and address.
+    mode="overwrite" replaces the hours that events have, and no other."""
     sort = [c for c in ("_source_type", "src_ip") if c in events.columns]
     out = events.repartition("dt", "hh", F.pmod(F.xxhash64(*sort), F.lit(8)) if sort else F.lit(0)).sortWithinPartitions("dt", "hh", *sort)
-    writer = out.write.mode(mode).partitionBy("dt", "hh")
+    writer = out.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("dt", "hh")
     for c in sort:
         writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
     writer.parquet(path)
@@ -39,9 +41,39 @@ def upsert(events: DataFrame, path: str, key: str = "rec_id") -> DataFrame:
     return new
 
 
-def backfill(events: DataFrame, path: str) -> None:
-    """Writes the hours of the events anew, and no other."""
-    events.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt", "hh").parquet(path)
+def backfill(events: DataFrame, path: str, hours: Sequence[tuple[str, int]] | None = None) -> None:
+    """Writes the hours of the events anew (of those given only, as day and hour), and no other."""
+    if hours is not None:
+        wanted = [(F.col("dt") == F.lit(day).cast("date")) & (F.col("hh") == hour) for day, hour in hours]
+        events = events.filter(reduce(lambda a, b: a | b, wanted, F.lit(False)))
+    write_events(events, path, mode="overwrite")
+
+
+def reindex_all(events: DataFrame, path: str) -> None:
+    """The whole table anew, from all events."""
+    clear(events.sparkSession, path)
+    write_events(events, path)
+
+
+def reindex_new(events: DataFrame, path: str) -> None:
+    """The newest hour of the table and all later ones anew; that hour stays as it is where no event of it is left."""
+    newest = events.sparkSession.read.parquet(path).agg(F.max(F.struct("dt", "hh")).alias("x")).first()["x"]
+    if newest is not None:
+        later = F.col("dt") > F.lit(newest["dt"])
+        events = events.filter(later | ((F.col("dt") == F.lit(newest["dt"])) & (F.col("hh") >= newest["hh"])))
+    write_events(events, path, mode="overwrite")
+
+
+def clear(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def write_alerts(alerts: DataFrame, path: str, now: Column | None = None) -> None:
+    """JSON lines by day and hour of writing."""
+    now = now if now is not None else F.current_timestamp()
+    out = alerts.withColumn("dt", F.date_format(now, "yyyy-MM-dd")).withColumn("hh", F.date_format(now, "HH"))
+    out.write.mode("append").partitionBy("dt", "hh").json(path)
 
 
 def sidecar(events: DataFrame) -> DataFrame:

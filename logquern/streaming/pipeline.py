@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -12,6 +13,7 @@ from ..operators import alerts as al
 from ..operators import ingest
 from ..operators.search import event_field
 from ..plans.rules import Rule, match_rules
+from ..sources import sinks
 
 
 def store_events(lines: DataFrame, path: str, checkpoint: str, now: Column | None = None, once: bool = False) -> StreamingQuery:
@@ -31,7 +33,43 @@ def passthrough(alerts: DataFrame, correlated: DataFrame) -> DataFrame:
     return al.union(alerts, correlated)
 
 
-def notify(alerts: DataFrame, checkpoint: str, send: Callable[[dict], None], least: str = "high", once: bool = False) -> StreamingQuery:
+def in_order(alerts: DataFrame, correlated: DataFrame) -> DataFrame:
+    """Every alert and correlation by time, a correlation right before the alerts of the second that completes it."""
+    both = passthrough(alerts, correlated)
+    return both.orderBy(F.coalesce("timestamp", "chain_end"), F.when(F.col("type") == "correlated", 0).otherwise(1))
+
+
+def store_alerts(alerts: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Alerts (or correlations) as JSON lines by day and hour of writing."""
+
+    def each(batch: DataFrame, _: int) -> None:
+        sinks.write_alerts(batch, path)
+
+    writer = alerts.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start() if once else writer.start()
+
+
+def first_start(spark: SparkSession, checkpoint: str) -> int:
+    """When a query was first started with this checkpoint, in seconds: now, if it never was."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{checkpoint.rstrip('/')}/first-start")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        out = fs.create(at)
+        out.writeLong(int(time.time()))
+        out.close()
+    read = fs.open(at)
+    found = read.readLong()
+    read.close()
+    return int(found)
+
+
+def notify(alerts: DataFrame, checkpoint: str, send: Callable[[dict], None], least: str = "high", once: bool = False, replay: bool = False) -> StreamingQuery:
+    """Sends what is notifiable, once. Alerts from before the first start are history: they aren't sent, unless replay."""
+    if not replay:
+        since = first_start(alerts.sparkSession, checkpoint)
+        at = [F.col(n) for n in ("timestamp", "chain_end") if n in alerts.columns]
+        alerts = alerts.filter(F.coalesce(*at, F.lit(since)) >= since)
     writer = alerts.writeStream.foreachBatch(al.notifier(least, send)).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if once else writer.start()
 

@@ -10,28 +10,6 @@ from logquern.plans import rules as rl
 from logquern.plans import suppress as sp
 
 
-def test_shipped_rules(spark):
-    rows = [
-        ("sshd", {"event_type": "ssh_auth_failure", "src_ip": "203.0.113.5"}, "", {"1001-ssh-brute-force", "1004-suspicious-ssh"}),
-        ("sshd", {"event_type": "ssh_auth_failure", "src_ip": "10.0.3.4"}, "", {"1001-ssh-brute-force"}),
-        ("sshd", {"event_type": "ssh_auth_success"}, "", {"1005-ssh-login-success"}),
-        ("sudo", {"event_type": "sudo_command", "target_user": "root", "command": "/bin/bash"}, "", {"1002-sudo-execution", "1008-sudo-privilege-escalation"}),
-        ("sudo", {"event_type": "sudo_command", "target_user": "bob", "command": "/bin/ls"}, "", {"1002-sudo-execution"}),
-        ("cron", {"event_type": "cron_exec", "command": "CURL http://x"}, "", {"1006-cron-suspicious-command"}),
-        ("cron", {"event_type": "cron_exec", "command": "run-parts"}, "", set()),
-        ("iptables", {"event_type": "firewall_block"}, "", {"1003-iptables-deny"}),
-        ("filterlog", {"event_type": "firewall_block"}, "", {"1009-firewall-port-scan"}),
-        ("haproxy", {"event_type": "tls_handshake_failure"}, "", {"1007-haproxy-tls-probe"}),
-        ("haproxy", {"message": "Connect from 1.2.3.4"}, "", {"1012-haproxy-connect-volume"}),
-        ("unix_chkpwd", {"event_type": "local_auth_failure"}, "", {"1010-local-auth-failure"}),
-        ("sshd", {}, "Ignore Previous Instructions", {"1011-prompt-injection-log-fields"}),
-        ("nginx", {}, "ignore previous instructions", set()),
-    ]
-    df = spark.createDataFrame([(i, s, f, line) for i, (s, f, line, _) in enumerate(rows)], "id int, _source_type string, fields map<string,string>, line string")
-    got = rl.match_rules(df, rl.shipped(), search.event_field(df), df["line"]).select("id", "rule_id").collect()
-    assert {i: {r.rule_id for r in got if r.id == i} for i in range(len(rows))} == {i: want for i, (*_, want) in enumerate(rows)}
-
-
 def test_strict_and_lenient():
     spec = {"id": "x", "title": "x", "detection": {"s": {"a": ["1", "2"]}, "condition": "s"}}
     with pytest.raises(EngineError):

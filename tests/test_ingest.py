@@ -1,8 +1,11 @@
 import json
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
-from logquern.operators import extract, ingest, parsers
+from logquern.model import EngineError
+from logquern.operators import digest, extract, ingest, parsers
 from logquern.sources import config, sinks
 
 
@@ -37,11 +40,78 @@ def test_translate():
     assert extract.translate(r"(?P<a_b>x)(?:y)\((?P<c>z)(w)") == (r"(x)(?:y)\((z)(w)", {"a_b": 1, "c": 2})
 
 
-def test_legacy_file(tmp_path):
-    (tmp_path / "n.toml").write_text('[[override]]\nstarts_with = "CEF:"\nformat = "cef"\n[[extract]]\nwhen.app_name = "sshd"\npattern = "(?P<n>\\d+)"\npattern = "b"\nset.kind = "k"\n')
-    overrides, rules = config.normalizer(tmp_path)
-    assert overrides[0].format == "cef"
-    assert rules[0].patterns == [r"(?P<n>\d+)", "b"] and rules[0].set == {"kind": "k"}
+def test_normalizer_file(tmp_path):
+    (tmp_path / "10.toml").write_text(
+        """
+[listen]  # ports
+udp_port = 5514
+[[overrides.rule]]
+contains = "[UFW "
+source = "iptables"
+[[overrides.rule]]
+contains = " filterlog "
+reparse = true
+reparse_as = "filterlog"
+remap = { src = "src_ip", dst = "dst_ip" }
+extra = "other"
+[[extract.rule]]
+app_name = "sshd"
+from = "message"
+pattern = "^(?P<n>\\d+) # not a comment"
+pattern = "b"
+[[extract.rule]]
+app_name = "sshd"
+n = "7"
+set = { kind = "k", severity = "warning" }
+force_severity = true
+"""
+    )
+    (tmp_path / "20.toml").write_text('[listen]\nbind = "::"\n[storage]\ndata_dir = "d"\n[[overrides.rule]]\nsource_ip = "10."\nformat = "cef"\n')
+    found = config.normalizer(tmp_path)
+    assert found.listen == {"bind": "::"} and found.storage == {"data_dir": "d"}
+    assert [(o.contains, o.source, o.reparse, o.reparse_as, o.format, o.source_ip) for o in found.overrides] == [("[UFW ", "iptables", False, "", "", ""), (" filterlog ", "", True, "filterlog", "", ""), ("", "", False, "", "cef", "10.")]
+    assert found.overrides[1].rename == {"src": "src_ip", "dst": "dst_ip", "extra": "other"}
+    assert [(r.when, r.patterns, r.set, r.force_severity) for r in found.rules] == [({"app_name": "sshd"}, ["^(?P<n>\\d+) # not a comment", "b"], {}, False), ({"app_name": "sshd", "n": "7"}, [], {"kind": "k", "severity": "warning"}, True)]
+    (tmp_path / "20.toml").write_text("[[override]]\n")
+    with pytest.raises(EngineError):
+        config.normalizer(tmp_path)
+
+
+def test_other_files(tmp_path):
+    file = tmp_path / "x.toml"
+    file.write_text('[source.sshd]\nindex_fields = ["src_ip", "username"]\n[source.default]\nindex_fields = ["dst_ip"]\n')
+    assert config.index_fields_by_source(file) == {"sshd": ["src_ip", "username"], "default": ["dst_ip"]}
+    assert {"src_ip", "username", "dst_ip"} <= config.index_fields(file)
+    file.write_text('[[rule]]\nid = "a"\ntitle = "A"\njoin_field = "src_ip"\nwindow_seconds = 60\nordered = false\n[[rule.step]]\nrule_id = "x"\nmin_count = 3\n[[rule.step]]\nrule_id = "y"\n')
+    (rule,) = config.correlations(file)
+    assert (rule.steps, rule.window, rule.ordered, rule.join_field) == ((("x", 3), ("y", 1)), 60, False, "src_ip")
+    for text in ("[[rules]]\n", "[[rule]]\nid = 'a'\njoin_field = 'b'\n"):
+        file.write_text(text)
+        with pytest.raises(EngineError):
+            config.correlations(file)
+    file.write_text("[volume]\nmin_count = 7\n[coverage]\nunparsed_min_events = 3\n[network]\ntop_blocked_limit = 2\n[alerts]\nconcentration_threshold_pct = 60\n")
+    got = digest.Config.load(file)
+    assert (got.min_count, got.unparsed_min_events, got.top_blocked_limit, got.concentration_threshold_pct, got.coverage_lookback_hours) == (7, 3, 2, 60, 24)
+    file.write_text("[volume]\nnoise = 7\n")
+    with pytest.raises(EngineError):
+        digest.Config.load(file)
+
+
+def test_xml(spark):
+    long = "<e><!-- a comment --><msg>" + "x" * (1 << 20) + "</msg></e>"
+    lines = spark.createDataFrame([(long, "s"), ("<!DOCTYPE e [<!ENTITY x 'y'>]><e>&x;</e>", "s"), ("<e a='1'><b>2</b></e>", "s")], "value string, source_addr string")
+    rows = [r.parsed for r in parsers.parse(lines).collect()]
+    assert [r.format for r in rows] == ["xml", "plain", "xml"] and len(rows[0].message) == 1 << 20
+    assert rows[2].fields == {"e.@a": "1", "e.b": "2"}
+
+
+def test_planning_is_quick(spark):
+    """All formats, the standard overrides and every standard rule; one Python call for nested formats."""
+    lines = spark.createDataFrame([("x", "s")], "value string, source_addr string")
+    ingest.normalize(lines, F.current_timestamp())._jdf.queryExecution().executedPlan()  # classes are loaded
+    start = time.time()
+    plan = ingest.normalize(lines, F.current_timestamp())._jdf.queryExecution().executedPlan().toString()
+    assert time.time() - start < 6 and plan.count("ArrowEvalPython") <= 1
 
 
 def test_upsert_twice(spark, tmp_path):
