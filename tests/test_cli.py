@@ -127,7 +127,7 @@ def test_pushdown(spark, data):
     found = search.run(search.bounded(events, "2026-07-01T14", "2026-07-01T14"), "SELECT username WHERE src_ip == '203.0.113.5'")
     plan = found._jdf.queryExecution().executedPlan().toString()
     scan = next(x for x in plan.splitlines() if "PushedFilters" in x)
-    assert "EqualTo(src_ip,203.0.113.5)" in scan and "PartitionFilters: []" not in scan and "Python" not in plan
+    assert "EqualNullSafe(src_ip,203.0.113.5)" in scan and "PartitionFilters: []" not in scan and "Python" not in plan
     assert "_raw" not in scan.split("ReadSchema:")[1]
     assert len(found.collect()) == 4
 
