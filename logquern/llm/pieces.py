@@ -10,7 +10,9 @@ the window meet in one boundary, the ids up to it are final and leave the window
 goes on past a space after another character, paths always meet there: the batch form below encodes each distinct
 stretch between such places once, with numpy over all of them; stretches over LONG bytes go through the stream.
 
-Null texts give null ids; empty texts none.
+Null texts give null ids; empty texts none. Repeated rows have equal ids, rows without doc_id theirs too. A very long text
+is held by one task; a stretch of it without a space goes through the stream, whose window is bounded. Extra columns are
+not read. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ curve.
 
 Learned from at most SAMPLE labelled documents, those with the least hash of doc_id; every whole text is scored. Null and
 empty texts and texts of blank lines have no line and score the share of label 1, as does every text where labels of
-both kinds are missing.
+both kinds are missing. Repeated rows have equal scores, rows without doc_id theirs too; of several labels of a document
+the largest counts. A very long text is held by one task. Extra columns are kept by `good` and not read. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
