@@ -1,5 +1,10 @@
 """The corpus pipeline: each stage takes (spark, docs, sf_dir) and returns a DataFrame, written as Parquet and read again
-as the docs of the next. All stages but the last return the columns of documents."""
+as the docs of the next. All stages but the last return the columns of documents, and any extra ones.
+
+Null and empty texts score the classifiers' base rates, lose no line and are no copy of anything. Rows without doc_id are
+judged by their text alone and never dropped as copies. Repeated rows are one document: what happens to one happens to all.
+Of rows that share a doc_id and differ in text, the n-gram join makes one document, the other stages as many as there are
+texts. An empty table stays empty."""
 
 from __future__ import annotations
 
@@ -47,7 +52,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-#: SQL can express neither the trained models nor best-fit packing; tests hold the stages against brute-force versions.
+#: SQL can express neither the trained models nor best-fit packing; tests/llm/test_pipeline.py holds each stage against a plain version.
 ORACLE_SQL = None
 
 
