@@ -179,7 +179,7 @@ def fit(y: np.ndarray, texts: list[list[int]], one: list[list[int]], other: list
         g += np.bincount(aids, weights=pull[arow], minlength=width) - np.bincount(bids, weights=pull[brow], minlength=width)
         gb = d.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
-        rate = 0.1 if t <= rounds // 2 else 0.02
+        rate = 0.1
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         b -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-8)
     return w, float(b)
