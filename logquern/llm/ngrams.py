@@ -13,7 +13,8 @@ share at least T = ceil(NUM * n / DEN) of either's n grams. Documents with equal
    are not compared again. A group of over GROUP classes is cut into blocks; each block is searched together with PIVOTS
    classes of the whole group, and what lies outside the group's largest part afterwards is searched in every block. So a
    group of m classes of which f are such outsiders costs m + f * m / GROUP rows.
-3. Links become components by alternating large and small stars until nothing changes.
+3. Links become components by alternating large and small stars until nothing changes; up to FEW links, whatever their
+   number of documents, in one task, as each round of stars costs the driver several plans.
 
 Grams are known by 64-bit hashes, classes by two such hashes of their grams, and every link rests on whole sets.
 
@@ -43,6 +44,7 @@ PIVOTS = 16  # classes of a large group that each of its blocks is compared with
 LEAST_HOT = 4096  # a gram's list is never left ungathered below this
 PROBE = 256  # length of an inverted list from which candidates are looked up in it
 FLAGS = 1 << 24
+FEW = 1 << 18  # links up to this number are connected by one task
 BUFFER = 48 << 20  # bytes of text whose postings a task holds before it sends them
 
 POSTING = np.dtype([("gram", "<u8"), ("id", "<i8"), ("n", "<u4")])
@@ -359,10 +361,40 @@ def _groups(rule: Rule):
     return each
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All links (u, v) of a table at once: node and component of the nodes that aren't the least of theirs."""
+    got = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches]
+    if not got:
+        return
+    nodes, at = np.unique(np.concatenate([np.concatenate([u for u, _ in got]), np.concatenate([v for _, v in got])]), return_inverse=True)
+    i, j = np.split(at, 2)
+    label = np.arange(len(nodes))
+
+    def root(k: np.ndarray) -> np.ndarray:
+        while (label[k] != k).any():
+            k = label[k]
+        return k
+
+    while len(i):
+        i, j = root(i), root(j)
+        apart = i != j
+        i, j = i[apart], j[apart]
+        np.minimum.at(label, np.maximum(i, j), np.minimum(i, j))
+    label = root(np.arange(len(nodes)))
+    some = np.flatnonzero(label != np.arange(len(nodes)))
+    for s in range(0, len(some), 10_000):
+        k = some[s : s + 10_000]
+        yield pa.RecordBatch.from_pydict({"node": nodes[k], "component": nodes[label[k]]})
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, component (the least node reachable) of every node of links u, v: alternating stars, each round written. The
     rows of a node with very many links are two numbers each; adaptive execution splits them in a join."""
     edges = c.stored(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    if edges.count() <= FEW:
+        found = c.stored(edges.coalesce(1).mapInArrow(_united, "node long, component long"))
+        c.forget(edges)
+        return found
     before = None
     while not edges.isEmpty():
         both = edges.union(edges.select("v", "u"))  # large star: larger neighbours go to the least one

@@ -215,7 +215,9 @@ def good(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def trained(documents: DataFrame, labels: DataFrame) -> Model:
-    return train(c.labelled(documents, labels, "quality", *HELD, SAMPLE))
+    model = train(c.labelled(documents, labels, "quality", *HELD, SAMPLE))
+    c.give_back()
+    return model
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

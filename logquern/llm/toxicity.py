@@ -111,10 +111,9 @@ def counterfactuals(texts: list[str]) -> tuple[list[str], list[str]]:
     return [s for s, _ in pairs], [t for _, t in pairs]
 
 
-def feature_lists(texts: list[str], index: dict[str, int]) -> list[list[int]]:
+def feature_lists(texts: list[str], index: dict[str, int]) -> pa.ListArray:
     docs, feats = _present(pa.array(texts, pa.string()), index)
-    edges = np.searchsorted(docs, np.arange(len(texts) + 1))
-    return [feats[a:b].tolist() for a, b in zip(edges, edges[1:])]
+    return pa.ListArray.from_arrays(np.searchsorted(docs, np.arange(len(texts) + 1)).astype(np.int32), feats.astype(np.int32))
 
 
 class Model:
@@ -147,34 +146,38 @@ def train(labelled: DataFrame) -> Model:
             texts = part.column("text").to_pylist()
             one, other = counterfactuals(texts)
             y = [*part.column("y").to_pylist(), *[None] * len(one)]
-            f = feature_lists(texts, index) + feature_lists(one, index)
-            g = [None] * len(texts) + feature_lists(other, index)
-            yield pa.RecordBatch.from_pydict({"y": pa.array(y, pa.int64()), "f": pa.array(f, pa.list_(pa.int64())), "g": pa.array(g, pa.list_(pa.int64()))})
+            f = pa.concat_arrays([feature_lists(texts, index), feature_lists(one, index)])
+            g = pa.concat_arrays([feature_lists([""] * len(texts), index), feature_lists(other, index)])
+            yield pa.RecordBatch.from_pydict({"y": pa.array(y, pa.int64()), "f": f, "g": g})
 
-    got = labelled.select("text", "y").mapInArrow(rows, "y long, f array<long>, g array<long>").toArrow().combine_chunks()
+    got = labelled.select("text", "y").mapInArrow(rows, "y long, f array<int>, g array<int>").toArrow().combine_chunks()
     own = got["y"].is_valid()
-    y, texts = got["y"].drop_null().to_numpy().astype(float), got.filter(own)["f"].to_pylist()
+    y, texts = got["y"].drop_null().to_numpy().astype(float), [got.filter(own)["f"].combine_chunks()]
     neutral = [NEUTRAL.format(w) for group in IDENTITY for w in group]
     pairs = got.filter(pc.invert(own))
-    one = pairs["f"].to_pylist() + feature_lists(neutral, index)
-    other = pairs["g"].to_pylist() + feature_lists([swapped(s) for s in neutral], index)
+    del got
+    one = [pairs["f"].combine_chunks(), feature_lists(neutral, index)]
+    other = [pairs["g"].combine_chunks(), feature_lists([swapped(s) for s in neutral], index)]
     return Model(index, *fit(y, texts, one, other, len(index)))
 
 
-def fit(y: np.ndarray, texts: list[list[int]], one: list[list[int]], other: list[list[int]], width: int, rounds: int = 600) -> tuple[np.ndarray, float]:
+def fit(y: np.ndarray, texts: list[pa.ListArray], one: list[pa.ListArray], other: list[pa.ListArray], width: int, rounds: int = 600) -> tuple[np.ndarray, float]:
     """Weights and bias. texts: features by text; one and other: those of sentences whose scores are to be equal."""
 
-    def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.array([i for x in lists for i in x], np.int64)
+    def flat(lists: list[pa.ListArray]) -> tuple[np.ndarray, np.ndarray]:
+        parts = [c.flat(x) for x in lists]
+        sizes = np.concatenate([np.diff(offsets) for offsets, _ in parts])
+        return np.repeat(np.arange(len(sizes)), sizes), np.concatenate([ids.to_numpy() for _, ids in parts]).astype(np.int64)
 
     (row, ids), (arow, aids), (brow, bids) = flat(texts), flat(one), flat(other)
+    pairs = sum(len(x) for x in one)
     w, b = np.zeros(width), 0.0
     m, v, mb, vb = np.zeros(width), np.zeros(width), 0.0, 0.0
     for t in range(1, rounds + 1):
         z = np.bincount(row, weights=w[ids], minlength=len(y)) + b
         d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-        change = np.bincount(arow, weights=w[aids], minlength=len(one)) - np.bincount(brow, weights=w[bids], minlength=len(one))
-        pull = 2 * FAIR * change / max(1, len(one))
+        change = np.bincount(arow, weights=w[aids], minlength=pairs) - np.bincount(brow, weights=w[bids], minlength=pairs)
+        pull = 2 * FAIR * change / max(1, pairs)
         g = np.bincount(ids, weights=d[row], minlength=width) + L2 * w
         g += np.bincount(aids, weights=pull[arow], minlength=width) - np.bincount(bids, weights=pull[brow], minlength=width)
         gb = d.sum()
@@ -208,7 +211,9 @@ def clean(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def trained(documents: DataFrame, labels: DataFrame) -> Model:
-    return train(c.labelled(documents, labels, "toxic", 3, 1, SAMPLE))
+    model = train(c.labelled(documents, labels, "toxic", 3, 1, SAMPLE))
+    c.give_back()
+    return model
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

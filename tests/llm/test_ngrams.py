@@ -106,3 +106,19 @@ def test_a_large_family_is_not_all_pairs(spark):
     finally:
         ngrams._search = search
     assert [r[0] for r in got] == [0] and sum(seen) < 2 * n
+
+
+def test_components_in_one_task(spark, monkeypatch):
+    """Few links cost no rounds of stars, and give the components that the rounds give."""
+    rng = random.Random(5)
+    rows = [(rng.randrange(-400, 400), rng.randrange(-400, 400)) for _ in range(350)] + [(k, k + 1) for k in range(1000, 1100)] + [(7, 7), (3, 4), (4, 3)]
+    links = spark.createDataFrame(rows, "u long, v long")
+    found = lambda: sorted(map(tuple, ngrams.components(links).collect()))
+    written = []
+    kept = c.stored
+    monkeypatch.setattr(c, "stored", lambda *a: written.append(1) or kept(*a))
+    one = found()
+    assert len(written) == 2
+    monkeypatch.setattr(ngrams, "FEW", 0)
+    assert one == found() and len(one) == len({k for k, _ in one})
+    assert found() == one and not ngrams.components(links.limit(0)).collect()

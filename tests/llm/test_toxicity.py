@@ -45,3 +45,12 @@ def test_sentences():
     one, other = t.counterfactuals(["The muslims came. Nobody else did! A woman, too", "nothing"])
     assert one == ["The muslims came", " A woman, too"] and all(a.lower().split() != b.split() for a, b in zip(one, other))
     assert t.swapped("The muslims came") == t.swapped("The muslims came") and t.swapped("none here") is None
+
+
+def test_features_stay_packed():
+    """The driver holds the features of the labelled texts as arrays: no Python number for each."""
+    import pyarrow as pa
+
+    index = {"a": 0, "b": 1, "stup*": 2}
+    got = t.feature_lists(["b a b", "", "stupid"], index)
+    assert isinstance(got, pa.ListArray) and got.type.value_type == pa.int32() and got.to_pylist() == [[0, 1], [], [2]]
