@@ -188,7 +188,10 @@ def _members(n: int):
         take(np.argsort(r["word"], kind="stable"))
         shared()
         # Equal lines: the first one stays, the others are out.
-        take(np.lexsort((r["line"], r["text"], r["doc"], r["id"], r["signature"], r["n"], r["word"])))
+        r["rank"] = np.empty(len(r["word"]), np.uint32)
+        r["rank"][np.lexsort((r["line"], r["text"], r["doc"]))] = np.arange(len(r["rank"]))
+        by_word = lambda k: r["word"].astype(np.uint64) << np.uint64(32) | r[k]
+        take(np.lexsort((r["rank"], r["signature"], r["n"], by_word("id"))))
         same = np.ones(len(r["word"]), bool)
         same[:1] = False
         for k in ("word", "n", "signature", "id"):
@@ -198,7 +201,7 @@ def _members(n: int):
         out = _unique(np.rec.fromarrays([r[k][later] for k in LINE.names], dtype=LINE))
         take(np.flatnonzero(~same))
         shared()
-        take(np.lexsort((r["line"], r["text"], r["doc"], r["word"])))
+        take(np.argsort(by_word("rank")))
         edges = c.runs(r["word"])
         sizes = np.diff(edges)
         label = np.arange(edges[-1])
@@ -398,9 +401,9 @@ def later_lines(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_id(F.col("text"))).filter("doc_id IS NOT NULL")
     sc, n = docs.sparkSession.sparkContext, c.partitions(docs)
 
-    def tokens(part: pa.RecordBatch) -> np.ndarray:
+    def tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         _, codes, distinct = c.words(part.column("text"))
-        return c.hashes(distinct)[codes]
+        return c.hashes(distinct), np.bincount(codes, minlength=len(distinct))
 
     counts = sc.broadcast(rarity.counters(docs, tokens, SKETCH_BITS))
     lists = c.exchange(docs.mapInArrow(_postings(counts, n), "pid int, data binary, lines binary"), n)

@@ -451,7 +451,7 @@ def join(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     sc = docs.sparkSession.sparkContext
     n = c.partitions(docs)
-    counts = sc.broadcast(rarity.counters(docs, lambda part: grams(part.column("text"), rule)[1], SKETCH_BITS))
+    counts = sc.broadcast(rarity.counters(docs, lambda part: (grams(part.column("text"), rule)[1], None), SKETCH_BITS))
     met = c.stored(c.exchange(docs.mapInArrow(_postings(rule, counts, n), ROWS), n).mapInArrow(_meet(rule, n), ROWS))
     own = met.filter("n IS NOT NULL").select("doc_id", "n", "id", "check")
     first = c.stored(classes(own))

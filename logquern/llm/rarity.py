@@ -16,13 +16,19 @@ from . import common as c
 PART = 14  # bits of a counter within a part
 
 
-def counters(docs: DataFrame, tokens: Callable[[pa.RecordBatch], np.ndarray], bits: int) -> np.ndarray:
-    """1 << bits counters. tokens gives the hashes of the tokens of a batch. What a task sends is bounded by the counters."""
+def counters(docs: DataFrame, tokens: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray | None]], bits: int) -> np.ndarray:
+    """1 << bits counters. tokens gives the hashes of some tokens of a batch, and how many of each (None: one). What a task sends is
+    bounded by the counters."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.int64)
         for part in c.slices(batches):
-            total += np.bincount((tokens(part) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+            hashes, many = tokens(part)
+            at = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+            if many is None:
+                total += np.bincount(at, minlength=1 << bits)
+            else:
+                np.add.at(total, at, many)
         used = np.flatnonzero(total)
         if len(used):
             edges = np.searchsorted(used >> PART, np.arange((1 << bits - PART) + 1))

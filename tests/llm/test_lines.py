@@ -51,3 +51,24 @@ def test_large_groups(spark, monkeypatch):
                 own[rng.randrange(30)] = f"x{rng.randrange(500)}"
             rows.append((rng.randrange(10_000), " ".join(own) + "\n" + " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 7)))))
     check(spark, rows)
+
+
+def test_counters_take_distinct_words(spark):
+    """Counting each distinct word of a slice once gives what counting every word gives."""
+    import numpy as np
+
+    from logquern.llm import common as c
+    from logquern.llm import rarity
+
+    df = spark.createDataFrame([("a b a\na c",), ("b",), (None,), ("",)], "text string")
+
+    def distinct(part):
+        _, codes, names = c.words(part.column("text"))
+        return c.hashes(names), np.bincount(codes, minlength=len(names))
+
+    def every(part):
+        _, codes, names = c.words(part.column("text"))
+        return c.hashes(names)[codes], None
+
+    got = rarity.counters(df, distinct, 18)
+    assert (got == rarity.counters(df, every, 18)).all() and sorted(got[got > 0]) == [1, 2, 3]
